@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, token_files
+from . import langid, mixing, quality, token_files, toxicity
 from .common import table
 
 
@@ -14,6 +15,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(n: int) -> Column:
+    """A document's fold of n by the CRC-32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted", "n_hits")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    samples = langid.learn(docs, fold(3) != 1)
+    return langid.identify(docs.select("doc_id", "text"), samples).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
