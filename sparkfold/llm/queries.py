@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ngram_join, quality, token_files, toxicity
+from . import langid, line_dedup, mixing, ngram_join, quality, token_files, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     samples = langid.learn(docs, fold(3) != 1)
