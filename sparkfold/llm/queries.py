@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, ngram_join, quality, token_files, toxicity
+from . import langid, line_dedup, mixing, ngram_join, quality, token_files, toxicity, vector_graph
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     samples = langid.learn(docs, fold(3) != 1)
