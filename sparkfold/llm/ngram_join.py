@@ -321,3 +321,10 @@ def ngram_components(docs: DataFrame, k: int = 5) -> DataFrame:
     named = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("sig", "sig2", "n", F.coalesce("comp", "rep").alias("component_id"))
     out = sizes.join(named, ["sig", "sig2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; of rows that share a doc_id, all or none stay."""
+    found = ngram_components(docs, k)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_id", "left_anti").select(docs.columns)
