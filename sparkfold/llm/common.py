@@ -28,6 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfold-"))
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "2000")  # the driver keeps these strings of all queries
     return df.checkpoint()
 
 

@@ -1,23 +1,58 @@
-"""Connected components by joins: labels flow to neighbours and then jump to their label's label."""
+"""Connected components: forests within bounded partitions, then labels that flow and jump by joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that one task joins at most (in memory, about 100 bytes each).
+LINKS_PER_TASK = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, the smallest node that the links of this partition reach) for each node of theirs."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ends = []
+            for v in (a, b):
+                parent.setdefault(v, v)
+                while parent[v] != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                ends.append(v)
+            parent[max(ends)] = min(ends)
+    nodes = sorted(parent)
+    for v in nodes:  # parents are smaller, and so already at their roots
+        parent[v] = parent[parent[v]]
+    for k in range(0, len(nodes), 1 << 16):
+        some = nodes[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(some, np.int64)), pa.array(np.array([parent[v] for v in some], np.int64))], ["a", "b"])
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that links reach, for each node of links (columns a and b, longs).
 
-    Each round joins links with labels, takes minima with partial aggregation, and cuts the lineage in
-    the shared checkpoint folder; nothing but two counts comes to the driver. Rounds grow with the
-    logarithm of the longest path, as labels jump. No links give no rows.
+    Links are dealt to as many tasks as LINKS_PER_TASK asks for, and each task reduces its own to a
+    forest of stars. If one task holds them all, that is the result. Else the stars are joined in rounds: labels
+    pass to neighbours (minima with partial aggregation) and jump to their label's label; rounds grow
+    with the logarithm of the longest path. Lineage is cut in the shared checkpoint folder, and nothing but
+    counts comes to the driver. No links give no rows.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").union(links.select(F.col(b), F.col(a)).where(F.col(a) != F.col(b))).distinct())
-    loops = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("label"))
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).union(loops).groupBy("node").agg(F.min("label").alias("label")))
+    links = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    tasks = max(1, -(-links.count() // LINKS_PER_TASK))
+    stars = links.repartition(tasks).mapInArrow(_forest, "a long, b long")
+    if tasks == 1:
+        return cut(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    stars = cut(stars)
+    both = cut(stars.where("a <> b").union(stars.where("a <> b").select("b", "a")).toDF("u", "v"))
+    label = cut(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
         heard = both.join(label, both["v"] == label["node"]).select(F.col("u").alias("node"), "label")
         new = label.union(heard).groupBy("node").agg(F.min("label").alias("label"))

@@ -31,7 +31,7 @@ from .components import components
 NUM, DEN = 75, 100
 #: Shingles that a task holds before it deals them out, and texts that share a trie.
 FLUSH, TRIE_TEXTS = 3_000_000, 96
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 NO_ID = -(1 << 63)
 
 _PARCEL = "dest int, uid long, what int, body binary, extra binary"
@@ -267,13 +267,13 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def set_components(sets: DataFrame) -> DataFrame:
     """doc_id, comp for sets (doc_id, n, h: distinct hashes, no two sets equal): the smallest doc_id that links reach."""
-    each = sets.select("doc_id", F.explode("h").alias("x"))
-    df = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    lists = each.join(df, "x").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("items"))
+    each = sets.select("doc_id", "n", F.explode("h").alias("x"))
+    df = each.groupBy("x").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    # from here on, `h` are the shingles that others have too, in the global order: no other one can be in an overlap
+    lists = each.join(df, "x").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("items")).where(F.size("items") >= need(F.col("n")))
     prefix = F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("items"))  # places left after the shingles of no other text
-    kept = sets.join(lists, "doc_id").where(F.size("items") >= need(F.col("n")))
-    kept = cut(kept.select("doc_id", "n", "h", F.col("items.df").alias("df"), F.col("items.x").alias("x"), prefix.cast("int").alias("p")))
-    members = cut(kept.select("doc_id", F.explode(F.slice("x", F.lit(1), F.greatest("p", F.lit(0)))).alias("key")))
+    kept = cut(lists.select("doc_id", "n", F.col("items.df").alias("df"), F.col("items.x").alias("h"), prefix.cast("int").alias("p")))
+    members = cut(kept.select("doc_id", F.explode(F.slice("h", F.lit(1), F.greatest("p", F.lit(0)))).alias("key")))
     comp = cut(kept.select("doc_id", F.col("doc_id").alias("comp")))
     for _ in range(STAR_ROUNDS):
         links = cut(_star_links(members, kept, comp).distinct())
@@ -296,7 +296,7 @@ def set_components(sets: DataFrame) -> DataFrame:
             found = trie_links(block)
             return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-        loaded = spread.join(kept.select("doc_id", "n", "df", F.col("x").alias("h")), "doc_id")
+        loaded = spread.join(kept.select("doc_id", "n", "df", "h"), "doc_id")
         links = loaded.groupBy("grp", "i", "j").applyInArrow(join, "a long, b long").distinct()
         comp = _merged(comp, cut(links))
     return comp
