@@ -1,0 +1 @@
+"""Kernels in numpy, column expressions, and SQL functions over both."""

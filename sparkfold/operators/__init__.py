@@ -1,0 +1 @@
+"""Operators over DataFrames: pairs, alignments, metrics, encoders, design."""

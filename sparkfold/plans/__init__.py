@@ -1,0 +1 @@
+"""Session defaults and plan helpers."""

@@ -1,0 +1 @@
+"""Readers of structures, sequences, pair lists, arrays, weights and caches."""

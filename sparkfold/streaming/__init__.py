@@ -1,0 +1 @@
+"""Incremental alignment of arriving proteins."""
