@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import PATH
 from . import geometry as geo
 from .align import align
+from .lazy import pandas_udf
 
 RAISED = {k: k - 32 for k in range(97, 123)}
 _ALIGNED = f"struct<raw_sw_score:double,soft_sw_score:double,path:{PATH}>"
@@ -19,7 +20,7 @@ def _pairs(qv: pd.Series, ql: pd.Series, tv: pd.Series, tl: pd.Series) -> list[t
     return [(np.asarray(a, float).reshape(n, -1), np.asarray(b, float).reshape(m, -1)) for a, n, b, m in zip(qv, ql, tv, tl, strict=True)]
 
 
-@F.pandas_udf(_ALIGNED)
+@pandas_udf(_ALIGNED)
 def sw_align(qv: pd.Series, ql: pd.Series, tv: pd.Series, tl: pd.Series, gap_open: pd.Series, gap_extension: pd.Series) -> pd.DataFrame:
     """Hard alignment of embeddings (flat values and length of each); the gaps are those of a batch's first row of each value."""
     out: list = [None] * len(qv)
@@ -31,21 +32,21 @@ def sw_align(qv: pd.Series, ql: pd.Series, tv: pd.Series, tl: pd.Series, gap_ope
     return pd.DataFrame(out)
 
 
-@F.pandas_udf("double")
+@pandas_udf("double")
 def soft_sw(qv: pd.Series, ql: pd.Series, tv: pd.Series, tl: pd.Series, gap_open: pd.Series, gap_extension: pd.Series, temperature: pd.Series) -> pd.Series:
     """log Z of embeddings."""
     pairs = _pairs(qv, ql, tv, tl)
     return pd.Series([align([p], "soft", (o, e), (o, e), t, paths=False)[0][0] for p, o, e, t in zip(pairs, gap_open, gap_extension, temperature, strict=True)])
 
 
-@F.pandas_udf("double")
+@pandas_udf("double")
 def kabsch_rmsd(moving: pd.Series, fixed: pd.Series) -> pd.Series:
     """RMSD of matched points (flat x, y, z) after superposition; null below three."""
     rows = [(np.asarray(a, float).reshape(-1, 3), np.asarray(b, float).reshape(-1, 3)) for a, b in zip(moving, fixed, strict=True)]
     return pd.Series([geo.superpose(a, b)[2] if len(a) >= 3 else None for a, b in rows], dtype="Float64")
 
 
-@F.pandas_udf("double")
+@pandas_udf("double")
 def lddt(query: pd.Series, target: pd.Series) -> pd.Series:
     """Symmetric lDDT of matched points, residue by residue."""
     out = []
@@ -56,7 +57,7 @@ def lddt(query: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Float64")
 
 
-@F.pandas_udf("array<int>")
+@pandas_udf("array<int>")
 def tokenize_aa(text: pd.Series) -> pd.Series:
     from ..model import AMBIGUOUS, AMBIGUOUS_TOKEN, AMINO, OTHER_TOKEN
 
@@ -64,7 +65,6 @@ def tokenize_aa(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else [token(c) for c in s.translate(RAISED) if c not in "-*" and not c.isspace()])
 
 
-@F.udtf(returnType="step int, query_index int, target_index int, residue_score double")
 class AlignmentSteps:
     """A row for each step of a hard alignment of two embeddings."""
 
@@ -78,6 +78,6 @@ class AlignmentSteps:
 def register(spark: SparkSession) -> list[str]:
     """Registers the functions in a session and returns their names."""
     for name, f in (("sw_align", sw_align), ("soft_sw", soft_sw), ("kabsch_rmsd", kabsch_rmsd), ("lddt", lddt), ("tokenize_aa", tokenize_aa)):
-        spark.udf.register(name, f)
-    spark.udtf.register("alignment_steps", AlignmentSteps)
+        spark.udf.register(name, f.udf)
+    spark.udtf.register("alignment_steps", F.udtf(AlignmentSteps, returnType="step int, query_index int, target_index int, residue_score double"))
     return ["sw_align", "soft_sw", "kabsch_rmsd", "lddt", "tokenize_aa", "alignment_steps"]

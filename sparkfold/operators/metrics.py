@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.expressions import tm_d0
+from ..functions.lazy import pandas_udf
 from ..model import AMINO, METRICS
 
-MATCH = (F.col("q") >= 0) & (F.col("t") >= 0)
+MATCH = "q >= 0 AND t >= 0"
 
 
 def coverage(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def moments(steps: DataFrame, residues: DataFrame) -> DataFrame:
     return g.select(out)
 
 
-@F.pandas_udf("struct<r:array<double>,t:array<double>,rmsd:double>")
+@pandas_udf("struct<r:array<double>,t:array<double>,rmsd:double>")
 def _transform(m: pd.DataFrame) -> pd.DataFrame:
     """Rotation (row by row), shift and RMSD from the moments of each row; null below three points."""
     v = m.to_numpy(np.float64)
@@ -145,7 +146,7 @@ def lddt(steps: DataFrame, residues: DataFrame, alignments: DataFrame) -> DataFr
 PANEL = "struct<" + ",".join(f"`{m}`:double" for m in METRICS) + ",invalid_reasons:map<string,string>>"
 
 
-@F.pandas_udf(PANEL)
+@pandas_udf(PANEL)
 def metric_panel(p: pd.DataFrame) -> pd.DataFrame:
     """All metrics of a pair in one pass over its path: columns steps, lq, lt, codes_q, codes_t, ca_q, ok_q, ca_t, ok_t.
 

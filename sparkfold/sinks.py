@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from .functions.expressions import gapped, length_normalised, sanitize, wrap_lines
 from .functions.geometry import superpose
+from .functions.lazy import pandas_udf
 from .model import ATOMS, DUAL_COLUMNS, METRICS, MISSING, RESIDUES, SUMMARY_COLUMNS, FailedPrecondition
 
 THREE = {v: k for k, v in RESIDUES.items()}
 
 
-@F.pandas_udf("string")
+@pandas_udf("string")
 def six_digits(v: pd.Series) -> pd.Series:
     """Six significant digits as C prints them; null is NA."""
     return v.map(lambda x: "NA" if x is None or x != x else f"{x:.6g}")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import residue_code
 from ..functions.geometry import infer_atoms
+from ..functions.lazy import pandas_udf
 from ..model import ATOM_SCHEMA, ATOMS, MISSING, MODIFIED, OBSERVED, RESIDUES, DataFormatError, InvalidArgument, NotFound
 
 SUFFIXES = ("pdb", "ent", "cif", "mmcif")
@@ -41,7 +42,7 @@ def structure_files(spark: SparkSession, directory: str, ids: DataFrame | None =
     named = paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("source_index"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("input_id"))
     if ids is not None:
         named = named.join(ids.select("input_id").distinct(), "input_id", "left_semi")
-    return named.join(listed.select("path", F.decode("content", F.lit("UTF-8")).alias("content")), "path")
+    return named.join(listed.select("path", F.decode("content", "UTF-8").alias("content")), "path")
 
 
 def parse_pdb(files: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def residues(atoms: DataFrame, infer: bool = True, modified_residues: bool = Tru
     return with_inferred(out) if infer else out
 
 
-@F.pandas_udf("struct<xyz:array<double>,source:array<int>>")
+@pandas_udf("struct<xyz:array<double>,source:array<int>>")
 def _filled(xyz: pd.Series, source: pd.Series, code: pd.Series) -> pd.DataFrame:
     rows = [infer_atoms(np.asarray(x, float).reshape(5, 3), np.asarray(s, int), c) for x, s, c in zip(xyz, source, code, strict=True)]
     return pd.DataFrame({"xyz": [x.ravel().tolist() for x, _ in rows], "source": [s.tolist() for _, s in rows]})
