@@ -1,0 +1,299 @@
+"""Corpus operators on small tables: plain versions, and nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkfold.llm import components, langid, line_dedup, mixing, ngram_join, pieces, quality, secrets, token_files, toxicity, vector_graph
+from sparkfold.llm.queries import tokenizer_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+VOCABULARY = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(r: random.Random, n: int) -> str:
+    return " ".join(r.choices(VOCABULARY, k=n))
+
+
+def rows(seed: int = 0) -> list[tuple]:
+    r = random.Random(seed)
+    out = [(k, prose(r, r.randint(12, 60)) + "\n" + prose(r, 20), "en", f"s{k % 4}", 0) for k in range(40)]
+    base = out[3][1].split()
+    for k in range(40, 50):  # near copies
+        own = list(base)
+        own[r.randrange(len(own))] = "changed" + str(k)
+        out.append((k, " ".join(own), "en", "s1", 0))
+    out += [
+        (50, None, None, None, None), (51, "", "en", None, 0), (52, " \n\t ", None, "s2", 0), (53, "one two", "fr", "s9", 0), (54, out[5][1], "en", "s0", 0),
+        (55, out[5][1], "en", "s0", 0), (56, "long " + prose(r, 3000), "en", "s0", 0), (57, "x" * 5000, "en", "s0", 0), (7, out[7][1], "en", "s3", 0), (58, "A B c D e f 日本 $$ %%", "de", "s0", 0),
+    ]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).withColumn("score", F.lit("clash")).withColumn("n_words", F.lit(-1)).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_components_of_many_tasks_and_of_one(spark, monkeypatch):
+    r = random.Random(1)
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(999, 999)]
+    parent = {v: v for link in links for v in link}
+    for _ in range(400):
+        for a, b in links:
+            low = min(parent[a], parent[b])
+            parent[a] = parent[b] = low
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {x["node"]: x["component"] for x in components.components(df).collect()} == parent
+    monkeypatch.setattr(components, "LINKS_PER_TASK", 60)
+    assert {x["node"]: x["component"] for x in components.components(df).collect()} == parent
+    assert components.components(df.where("a < 0")).count() == 0
+
+
+def test_quality_counts_and_verdicts(docs, empty):
+    got = [x.asDict() for x in quality.judge(docs).collect()]
+    assert len(got) == len(rows())
+    by = {(x["doc_id"], x["source"]): x for x in got}
+    for doc_id, text, _, source, _ in rows():
+        t = text or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)} if len(w) < 1000 else None
+        x = by[doc_id, source]
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
+        if covered is not None:
+            assert x["n_repeat_words"] == len(covered)
+        assert x["base_failed"] == (x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"])
+        assert not (x["kept"] and x["base_failed"])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(x["kept"] for x in got)
+    assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
+
+
+def test_a_bad_host_takes_its_documents_along(spark):
+    r = random.Random(4)
+    bad = [(k, "too short", "en", "bad", 0) for k in range(80)] + [(k, prose(r, 40), "en", "bad", 0) for k in range(80, 83)]
+    good = [(k, prose(r, 40), "en", f"g{k % 5}", 0) for k in range(100, 200)]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(spark.createDataFrame(bad + good, SCHEMA)).collect()}
+    assert not any(got[k] for k in range(83)) and all(got[k] for k in range(100, 200))
+
+
+def test_line_classes_and_texts(docs, empty):
+    got = {(x["doc_id"], x["line_no"], x["rep_doc_id"], x["rep_line_no"]): x for x in line_dedup.line_classes(docs.dropDuplicates(["doc_id"])).collect()}
+    table = {d: t for d, t, *_ in rows()}
+    lines = {(d, k): x.strip(" \t\n\x0b\x0c\r") for d, t in table.items() for k, x in enumerate((t or "").split("\n")) if WORD.search(x)}
+    first: dict[str, tuple] = {}
+    for at in sorted(lines):
+        first.setdefault(lines[at], at)
+    assert len(got) == len(lines)
+    for at, text in lines.items():
+        x = got[(*at, *first[text])]
+        assert not x["kept"] or first[text] == at
+    left = line_dedup.without_repeats(docs)
+    assert left.columns == docs.columns
+    texts = {x["doc_id"]: x["text"] for x in left.collect()}
+    assert texts[3] == table[3] and 55 not in texts and 50 in texts
+    assert line_dedup.line_classes(empty).count() == 0 and line_dedup.without_repeats(empty).count() == 0
+
+
+def test_near_lines_link(spark):
+    line = "this is a line that is long enough to be compared by its edits"
+    texts = [line, line.replace("long", "lung"), line.replace("edits", "edit"), line + "xyz", "short line", "short lime", line]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: (x["rep_doc_id"], x["n_links"], x["kept"]) for x in line_dedup.line_classes(df).collect()}
+    assert got == {0: (0, 2, True), 1: (1, 2, False), 2: (2, 2, False), 3: (3, 0, True), 4: (4, 0, True), 5: (5, 0, True), 6: (0, 2, False)}
+
+
+def test_ngram_components(spark, docs, empty):
+    table = [(d, t) for d, t, *_ in rows()]
+    sets = []
+    for _, t in table:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    comp = [d for d, _ in table]
+    for _ in range(len(table)):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(docs).collect())
+    assert got == sorted((d, len(s), c) for (d, _), s, c in zip(table, sets, comp, strict=True))
+    kept = ngram_join.without_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(d == c for (d, _), c in zip(table, comp, strict=True))
+    assert ngram_join.ngram_components(empty).count() == 0
+    nothing = spark.createDataFrame([(None, "a b c d e f", None, None, 0), (None, None, None, None, 0)], SCHEMA)
+    assert ngram_join.ngram_components(nothing).count() == 2
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_ngram_join_by_tries_alone_and_after_stars(spark, monkeypatch, rounds):
+    """A crowd whose members are linked through chains, without and with the star rounds."""
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "TRIE_TEXTS", 8)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in r.sample(range(80), r.randint(0, 4)):
+            own[at] = f"v{k}_{at}" if k % 2 else f"u{at}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    comp = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_components(df).collect()}
+    assert [got[k] for k in range(60)] == comp and 1 < len(set(comp)) < 60
+
+
+def test_mix_meets_targets_and_never_exceeds_twice(docs, empty):
+    got = [x.asDict() for x in mixing.mix(docs).collect()]
+    assert len(got) == len(rows())
+    sizes = sum(x["size"] for x in got)
+    by = {}
+    for x in got:
+        assert 0 <= x["taken"] <= 2 * x["size"]
+        t = by.setdefault((x["source_size"], x["target"]), [0, x["source_size"], x["target"]])
+        t[0] += x["taken"]
+    assert abs(sum(t[2] for t in by.values()) - 1.5 * sizes) < 1
+    for taken, size, target in by.values():
+        assert target <= 2 * size + 1e-6 and abs(taken - target) <= 4 * mixing.BLOCK_WORDS
+    again = sorted((x["doc_id"], x["size"], x["taken"]) for x in mixing.mix(docs.repartition(3)).collect())
+    assert again == sorted((x["doc_id"], x["size"], x["taken"]) for x in got)
+    made = mixing.mixed_documents(docs)
+    assert made.columns == docs.columns
+    words = sum(len(WORD.findall(x["text"])) for x in made.collect())
+    assert words == sum(x["taken"] for x in got)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_pieces_round_trip(docs, empty):
+    model = tokenizer_file("piece_bpe_32k.model")
+    got = pieces.round_trips(docs, model).collect()
+    assert len(got) == len(rows()) and all(x["same"] for x in got)
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    assert [x["decoded"] for x in coded.orderBy("doc_id", "text").collect()] == [x["text"] or "" for x in docs.orderBy("doc_id", "text").collect()]
+    assert pieces.round_trips(empty, model).count() == 0 and pieces.encode(empty, model).count() == 0
+
+
+def test_token_files(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = sorted((x["doc_id"], x["start"], x["n_tokens"], x["ids_crc32"]) for x in token_files.token_ids(docs, path).collect())
+    start, want = 0, []
+    for doc_id, text in sorted((d, x or "") for d, x, *_ in rows()):
+        ids = t.encode(text, add_special_tokens=False).ids + [1]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == sorted(want)
+    assert token_files.token_ids(empty, path).count() == 0
+
+
+def test_language(spark, empty):
+    r = random.Random(6)
+    words = {"aa": "bako tumi reslo vanta kiru".split(), "bb": "shren wolth grund kalsch eich".split()}
+    data = [(k, " ".join(r.choices(words[lang], k=r.randint(8, 40))), lang, None, 0) for k in range(80) for lang in [("aa", "bb")[k % 2]]]
+    data += [(100, None, "aa", None, 0), (101, "", None, None, 0), (102, "123 !!", "bb", None, 0), (103, "bako tumi reslo " * 2000, None, None, 0), (104, data[0][1], "aa", None, 0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    samples = langid.learn(df, F.col("doc_id") % 3 != 1)
+    got = {x["doc_id"]: x for x in langid.identify(df, samples).collect()}
+    assert all(got[k]["lang_pred"] == ("aa", "bb")[k % 2] for k in range(80))
+    assert [got[k]["lang_pred"] for k in (100, 101, 102, 103)] == ["und", "und", "und", "aa"] and all(0 <= x["score"] <= 1 for x in got.values())
+    assert langid.learn(empty, F.lit(True)).texts == () and {x["lang_pred"] for x in langid.identify(df, langid.Samples(())).collect()} == {"und"}
+    assert langid.identify(empty, samples).count() == 0
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(8)
+    bad = ["zorbik", "flumptious", "grakle"]
+    data, labels = [], []
+    for k in range(300):
+        w = r.choices(VOCABULARY, k=30)
+        if k % 5 == 0:
+            for b in r.sample(bad, 2):
+                w.insert(r.randrange(len(w)), b)
+        data.append((k, " ".join(w), "en", None, 0))
+        labels.append((k, int(k % 5 == 0)))
+    data += [(1000, None, None, None, 0), (1001, "", None, None, 0), (1002, "alpha zorbok beta flumptous gamma", None, None, 0), (1003, "Alpha Zorbik, FLUMPTIOUS!", None, None, 0)]
+    df = spark.createDataFrame(data, SCHEMA).withColumn("predicted", F.lit("clash"))
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 4 != 2)
+    got = {x["doc_id"]: x for x in toxicity.score(df, model).collect()}
+    assert {t for t, _ in model.terms} >= set(bad)
+    assert all(got[k]["predicted"] == int(k % 5 == 0) for k in range(300))
+    assert got[1000]["predicted"] == got[1001]["predicted"] == 0 and got[1002]["n_hits"] == 2 and got[1003]["predicted"] == 1
+    none = toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
+    assert none.terms == () and toxicity.score(df, none).count() == len(data) and toxicity.score(empty, model).count() == 0
+
+
+def test_quotation_lowers_the_context_score():
+    scorer = toxicity.Scorer((("zorbik", False),))
+    import pyarrow as pa
+
+    from sparkfold.llm import textvec as tv
+
+    docs, x = scorer.features(tv.strings(pa.array(['he said "zorbik" is a word', "you zorbik go away"])))
+    assert docs.tolist() == [0, 1] and x[0][7] == 1 and x[0][8] == 1 and x[1][7] == 0 and x[1][9] == 1
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8))
+    x[10:15] = x[3]
+    x[20] = x[21] + 0.01
+    rows = [(k, [float(a) for a in v], k % 2) for k, v in enumerate(x)]
+    rows += [(100, None, 0), (101, [0.0] * 8, 0), (102, [float("nan")] * 8, 1), (103, [1.0, None] * 4, 1), (104, [float(a) for a in x[3]], None), (105, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit(1))
+    got = {r["vec_id"]: r for r in vector_graph.near_vectors(df, shard=16).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & (np.arange(60)[:, None] % 2 == np.arange(60)[None] % 2) & ~np.eye(60, dtype=bool)
+    assert len(got) == len(rows) and all(got[k]["n_links"] == near[k].sum() for k in range(60))
+    assert got[11]["component_id"] == 3 and not got[11]["kept"] and got[13]["component_id"] == 3
+    assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k and got[k]["kept"] for k in range(100, 106))
+    assert vector_graph.near_vectors(df.where("vec_id < 0")).count() == 0
+
+
+def test_secret_scan(spark, empty):
+    key = "AKIA" + "MD62HKU6VBLCCCCE"
+    data = [(1, f"before the end {key} and after", None, None, 0), (2, 'the token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" here', None, None, 0), (3, "see commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae here", None, None, 0), (4, None, None, None, 0), (5, "plain words only", None, None, 0), (6, "call 4041894974608795 now", None, None, 0)]
+    df = spark.createDataFrame(data, SCHEMA).withColumn("length", F.lit("clash"))
+    got = {x["doc_id"]: x for x in secrets.scan(df).collect()}
+    assert got[1]["secret"] and got[2]["secret"] and not got[3]["secret"] and not got[6]["secret"] and got[1]["begin"] == 15 and got[1]["length"] == 20
+    assert 4 not in got and 5 not in got and secrets.scan(empty).count() == 0
+
+
+def test_pipeline_stages_in_order(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "ngram_join", "mixing", "pieces"]
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns or k == 4, name
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    out = docs.collect()
+    assert out and all(x["same"] for x in out)
+    ids = {x["doc_id"] for x in out}
+    assert not ids & {50, 51, 52, 53, 54, 55} and len(ids & set(range(40, 50)) | ids & {3}) <= 1
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
