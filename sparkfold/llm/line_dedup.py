@@ -8,6 +8,7 @@ a bucket's lines are verified with a banded bit-parallel edit distance, many pai
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ TAU = 2
 NEAR_CHARS = 30
 #: Lines that a task holds before it names their segments, and lines of a bucket that are verified together.
 FLUSH, BLOCK = 60_000, 128
+#: Pairs that are verified at once.
+PAIRS = 1 << 16
 NO_ID = -(1 << 63)
 
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -169,18 +172,37 @@ def segment_names(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return docs.select("text").mapInArrow(name, "name long, h1 long")
 
 
-def verify(bucket: pa.Table, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of h1 within tau edits: of `side` 0 with 1, or among all if one side alone is there."""
-    h1, side = (np.array(bucket.column(c).to_pylist(), np.int64) for c in ("h1", "side"))
-    points = [au.code_points(t) for t in bucket.column("line").to_pylist()]
-    n = np.array([len(p) for p in points])
+def verify(lines: list[str], h1: np.ndarray, side: np.ndarray, cuts: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of h1 within tau edits, of the buckets that begin at cuts[:-1]; each pair once.
+
+    In a bucket, lines of side 0 meet those of side 1, or each other if one side alone is there. All
+    buckets' pairs are verified together.
+    """
+    n = np.array([len(x) for x in lines])
     at = np.cumsum(n) - n
-    if len(set(side.tolist())) == 1:
-        a, b = np.triu_indices(len(h1), 1)
-    else:
-        a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
-    ok = edit_within(np.concatenate(points), at[a], n[a], at[b], n[b], tau)
-    return h1[a[ok]], h1[b[ok]]
+    codes = au.code_points("".join(lines))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        left, right = np.flatnonzero(side[lo:hi] == 0) + lo, np.flatnonzero(side[lo:hi] == 1) + lo
+        if len(left) and len(right):
+            first.append(np.repeat(left, len(right)))
+            second.append(np.tile(right, len(left)))
+        else:
+            i, j = np.triu_indices(hi - lo, 1)
+            first.append(i + lo)
+            second.append(j + lo)
+    a, b = np.concatenate(first), np.concatenate(second)
+    near = (np.abs(n[a] - n[b]) <= tau) & (h1[a] != h1[b])
+    a, b = a[near], b[near]
+    low, high = np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])
+    _, once = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+    a, b = a[once], b[once]
+    ok = [np.zeros(0, bool)]
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+        ok.append(edit_within(codes, at[x], n[x], at[y], n[y], tau))
+    good = np.concatenate(ok)
+    return h1[a[good]], h1[b[good]]
 
 
 def near_links(docs: DataFrame, lines: DataFrame, tau: int = TAU) -> DataFrame:
@@ -197,11 +219,24 @@ def near_links(docs: DataFrame, lines: DataFrame, tau: int = TAU) -> DataFrame:
     placed = buckets.join(counts, "name").withColumn("block", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int"))
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("name", "h1", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"))
 
-    def check(bucket: pa.Table) -> pa.Table:
-        a, b = verify(bucket, tau)
-        return pa.table([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))], ["a", "b"])
-
-    return spread.join(texts.dropDuplicates(["h1"]), "h1").groupBy("name", "i", "j").applyInArrow(check, "a long, b long").distinct()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows])
+            if held is None or not len(held):
+                continue
+            key = np.stack([held.column(c).to_numpy() for c in ("name", "i", "j")], 1)
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            last = starts[-1] if batch is not None else len(held)  # the last bucket may go on in the next batch
+            done, held = held.slice(0, last), held.slice(last)
+            if len(done):
+                a, b = verify(done.column("line").to_pylist(), done.column("h1").to_numpy(), done.column("side").to_numpy(), np.append(starts[starts < last], last), tau)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))], ["a", "b"])
+
+    loaded = spread.join(texts.dropDuplicates(["h1"]), "h1").select("name", "i", "j", "side", "h1", "line")
+    return loaded.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j").mapInArrow(check, "a long, b long").distinct()
 
 
 def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
