@@ -57,9 +57,11 @@ WITH base AS (
   SELECT doc_id, source, {_WORDS} AS w, coalesce(text, '') AS t,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_BLANKS}', '', 'g') <> '') AS lines
   FROM documents
+), grams AS (
+  SELECT doc_id, i, w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS g
+  FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM base) WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), windows AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + 4)) AS c
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams WHERE g IS NOT NULL
 ), repeated AS (
   SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM windows, (SELECT unnest(range(5)) AS o) WHERE c > 1 GROUP BY doc_id
 ), counts AS (
