@@ -179,6 +179,25 @@ s5 AS (SELECT *, xor(f, f >> 31) AS bits FROM s4)
 """
 
 
+def _summary() -> str:
+    """The 25 text columns, from the parts above; numbers have six significant digits."""
+    g = lambda v: f"coalesce(printf('%.6g', {v}), 'NA')"
+    columns = {
+        "query_index": "h.q::VARCHAR", "target_index": "h.t::VARCHAR", "pair_id": "a.input_id || '__' || b.input_id", "raw_sw_score": g("best"), "soft_sw_score": g("log_z"),
+        "sw_per_query_len": g("CASE WHEN aligned > 0 THEN best / h.lq END"), "sw_per_target_len": g("CASE WHEN aligned > 0 THEN best / h.lt END"), "sw_per_aligned": g("CASE WHEN aligned > 0 THEN best / aligned END"),
+        "aligned_pairs": "aligned::VARCHAR", "coverage_query": g("aligned / h.lq"), "coverage_target": g("aligned / h.lt"), "coverage_mean": g("2 * aligned / (h.lq + h.lt)"), "identity": g("identity"),
+        "rmsd": g("rmsd"), "tm_score_query": g("tq"), "tm_score_target": g("tm.tt"), "lddt": g("(ca.kept / 4 / ca.n + cb.kept / 4 / cb.n) / 2"), "lddt_byA": g("ca.kept / 4 / ca.n"), "lddt_byB": g("cb.kept / 4 / cb.n"),
+        "lddt_aln": g("(ca.kept + cb.kept) / 4 / nullif(ca.m + cb.m, 0)"), "coverage_byA": g("ca.m / ca.n"), "coverage_byB": g("cb.m / cb.n"), "ecs": "'NA'", "fasta_path": "'NA'", "pdb_path": "'NA'",
+    }
+    return f"""{PATHS}{_MATCH}{_MOMENTS}{_SPECTRUM}{_rotation()}{_TM}{_lddt()},
+tm AS (SELECT pair_index, sum(1 / (1 + d2 / {_D0.format('lq')} ** 2)) / any_value(lq) AS tq, sum(1 / (1 + d2 / {_D0.format('lt')} ** 2)) / any_value(lt) AS tt FROM d GROUP BY pair_index),
+same AS (SELECT pair_index, avg((qc = tc)::INT) AS identity FROM mt GROUP BY pair_index),
+z AS ({_SOFT} SELECT pair_index, log_z FROM soft)
+SELECT h.pair_index, {", ".join(f'{v} AS "{k}"' for k, v in columns.items())}
+FROM hard h JOIN ap USING (pair_index) JOIN p a ON a.idx = h.q JOIN p b ON b.idx = h.t LEFT JOIN z USING (pair_index) LEFT JOIN same USING (pair_index) LEFT JOIN g6 USING (pair_index)
+LEFT JOIN tm USING (pair_index) LEFT JOIN ca USING (pair_index) LEFT JOIN cb USING (pair_index)"""
+
+
 def oracle_sql() -> dict[str, str]:
     pair_base = f"WITH {BASE}"
     atoms = f"""{_WITH}, atoms AS (
@@ -271,5 +290,9 @@ SELECT input_id, residue_index, resnum, icode, coalesce(nn - resnum > 1 OR (nn =
         "gapped_fasta": f"""{PATHS}, f AS (SELECT pair_index, string_agg(CASE WHEN s.q < 0 THEN '-' ELSE a.codes[s.q + 1] END, '' ORDER BY step) AS qs, string_agg(CASE WHEN s.t < 0 THEN '-' ELSE b.codes[s.t + 1] END, '' ORDER BY step) AS ts, any_value(a.input_id) AS qn, any_value(b.input_id) AS tn
 FROM steps s JOIN hard h USING (pair_index) JOIN p a ON a.idx = h.q JOIN p b ON b.idx = h.t GROUP BY pair_index)
 SELECT pair_index, qn || '__' || tn AS name, '>' || qn || chr(10) || regexp_replace(regexp_replace(qs, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') || chr(10) || '>' || tn || chr(10) || regexp_replace(regexp_replace(ts, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') || chr(10) AS fasta FROM f""",
+        "package_table": """SELECT * FROM (VALUES ('structure-d64', 'structure', 64::INT, -1.4::DOUBLE, -0.15::DOUBLE, -3.21337::DOUBLE, -0.111704::DOUBLE, 'align,encode,soft'),
+('sequence-320', 'sequence', 320, -1.01982, 0.225736, -6.72805, -0.0159468, 'align,encode,soft'), ('design-128', 'design', 128, 0, 0, 0, 0, 'design'))
+t(name, kind, dim, hard_gap_open, hard_gap_extension, soft_gap_open, soft_gap_extension, capabilities)""",
+        "summary_table": _summary(),
         "cache_counters": "SELECT count(*) FILTER (WHERE vec_id % 7 <> 0 AND vec_id % 13 <> 0)::BIGINT AS hits, count(*) FILTER (WHERE vec_id % 7 = 0 OR vec_id % 13 = 0)::BIGINT AS misses, count(*) FILTER (WHERE vec_id % 7 <> 0 AND vec_id % 13 = 0)::BIGINT AS rejected FROM embeddings WHERE label IS NOT NULL",
     }

@@ -423,7 +423,7 @@ def cache_counters(spark, sf_dir):
 
 
 def package_table(spark, sf_dir):
-    return Engine(spark, functions=False).capabilities()
+    return Engine(spark, functions=False).capabilities().withColumn("capabilities", F.array_join("capabilities", ","))
 
 
 # models: rows only
