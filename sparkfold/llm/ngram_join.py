@@ -30,7 +30,7 @@ from .components import components
 
 NUM, DEN = 75, 100
 #: Shingles that a task holds before it deals them out, and texts that share a trie.
-FLUSH, TRIE_TEXTS = 3_000_000, 96
+FLUSH, TRIE_TEXTS = 1_500_000, 96
 STAR_ROUNDS = 2
 NO_ID = -(1 << 63)
 
@@ -66,13 +66,13 @@ def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
         def flush() -> pa.RecordBatch:
             n = np.array([len(s) for s in sets])
             h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            of = np.repeat(np.arange(len(sets)), n)
+            of = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
             table = np.zeros(len(sets), _DOC)
             table["id"], table["n"] = ids, n
             table["sig"] = [int(tv.mix(s ^ np.uint64(7)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             table["sig2"] = [int(tv.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             order = np.argsort(h, kind="stable")
-            h, of = h[order], of[order].astype(np.uint16)
+            h, of = h[order], of[order]
             same = h[1:] == h[:-1]
             again = np.zeros(len(h), bool)
             again[1:] |= same

@@ -64,7 +64,7 @@ class Segmenter:
     byte pieces, or the unknown piece if the model has none. Units are known by 64-bit hashes; `most` bounds the ids remembered.
     """
 
-    def __init__(self, model: PieceModel, most: int = 12_000_000):
+    def __init__(self, model: PieceModel, most: int = 3_000_000):
         self.most, self.prefix, self.kind = most, model.prefix, model.kind
         kinds = np.array(model.kinds)
         self.unknown = int(np.flatnonzero(kinds == UNKNOWN)[0])
