@@ -111,7 +111,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns; counts are made twice, texts never shuffled."""
     hosts = host_verdicts(with_rules(docs.select("source", "text"), limits), limits)
     rejected = cut(hosts.where(~F.col("host_ok")).select("source", F.lit(True).alias("_rejected")))
-    s = docs.withColumn("_words", text_stats(F.col("text"))["words"])
-    n, again = F.col("_words.n_words"), F.col("_words.n_repeat_words")
-    good = s.where((n >= limits.min_words) & (100 * again <= limits.max_repeat_pct * n)).drop("_words")
+    # one expression, so that pushing it below other columns doesn't count a text's words more than once
+    passed = let(text_stats(F.col("text"))["words"], lambda w: (w["n_words"] >= limits.min_words) & (100 * w["n_repeat_words"] <= limits.max_repeat_pct * w["n_words"]))
+    good = docs.where(passed)
     return lookup_join(good, rejected, ["source"], F.col("doc_id")).where(F.col("_rejected").isNull()).select(docs.columns)
