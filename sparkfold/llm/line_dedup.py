@@ -74,7 +74,20 @@ def edit_within(codes: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray,
     vn = np.zeros(len(order), np.int64)
     dist = np.full(len(order), tau, np.int64)
     top = len(codes) - 1
+    out = np.zeros(len(good), bool)
     for j in range(1, int(n.max(initial=0)) + 1):
+        if j % 16 == 0:  # pairs whose band is above tau everywhere, and finished ones, go
+            k = int(np.searchsorted(-n, -j, "right"))
+            out[order[k:]] = dist[k:] <= tau
+            value = dist[:k].copy()
+            least = value.copy()
+            for bit in range(w - 2, -1, -1):
+                value += ((vn[:k] >> bit) & 1) - ((vp[:k] >> bit) & 1)
+                np.minimum(least, value, out=least)
+            live = np.flatnonzero((least <= tau) | (j - 1 + tau > m[:k]))
+            order, a, b, m, n, vp, vn, dist = (x[live] for x in (order, a, b, m, n, vp, vn, dist))
+            if not len(order):
+                return out
         k = int(np.searchsorted(-n, -j, "right"))  # pairs with a column j
         eq = np.zeros(k, np.int64)
         ch = codes[b[:k] + j - 1]
@@ -90,11 +103,31 @@ def edit_within(codes: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray,
         last = np.clip(m[:k] - j + tau, 0, w)
         dist[:k] += np.where(down, 1 - (d0 >> (w - 1)), ((hp >> last) & 1) - ((hn >> last) & 1))
         vp[:k], vn[:k] = (hn | ~((d0 >> 1) | hp)) & full, (d0 >> 1) & hp
-    out = np.zeros(len(good), bool)
     out[order] = dist <= tau
     return out
 
 
+def stripped(codes: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, ...]:
+    """The pairs without what they share at both ends, which no distance depends on; tau + 1 characters stay at least.
+
+    Ends are found by bisection on hashes, so long lines cost no more than short ones.
+    """
+    spans = Spans(codes)
+    most = np.maximum(np.minimum(na, nb) - tau - 1, 0)
+
+    def shared(most: np.ndarray, equal) -> np.ndarray:
+        low, high = np.zeros_like(most), most.copy()
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = equal(middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    head = shared(most, lambda k: spans(a, a + k) == spans(b, b + k))
+    tail = shared(most - head, lambda k: spans(a + na - k, a + na) == spans(b + nb - k, b + nb))
+    return a + head, na - head - tail, b + head, nb - head - tail
+
+
 def _lines(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run of texts: first text, code points, and number of text, of line, begin and end of each trimmed line with a word."""
     blank = np.zeros(0x110000, bool)
@@ -121,13 +154,24 @@ def _lines(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         yield first, codes, doc[full], number[full], b, e
 
 
+#: Values of the code points below this come from a table.
+_TABLED = 1 << 16
+_VALUES = tv.mix(np.arange(1, _TABLED + 1, dtype=np.uint64))
+
+
+def _point_values(codes: np.ndarray) -> np.ndarray:
+    if not len(codes) or int(codes.max()) < _TABLED:
+        return _VALUES[codes]
+    return np.where(codes < _TABLED, _VALUES[np.minimum(codes, _TABLED - 1)], tv.mix(codes.astype(np.uint64) + np.uint64(1)))
+
+
 class Spans:
     """Hashes of parts of a code-point array."""
 
-    def __init__(self, codes: np.ndarray, seed: int = 0):
+    def __init__(self, codes: np.ndarray):
         self.down = tv._power("down", tv._INVERSE, len(codes) + 1)
         self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(tv.mix(codes.astype(np.uint64) + np.uint64(seed + 1)) * tv._power("up", tv._BASE, len(codes)), out=self.total[1:])
+        np.cumsum(_point_values(codes) * tv._power("up", tv._BASE, len(codes)), out=self.total[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         own = (self.total[end] - self.total[begin]) * self.down[begin]
@@ -142,7 +186,8 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for first, codes, doc, number, b, e in _lines(tv.strings(batch.column("text"))):
-                h1, h2 = Spans(codes)(b, e).view(np.int64), Spans(codes, 1 << 40)(b, e).view(np.int64)
+                own = codes[: e[-1]] if len(e) else codes[:0]
+                h1, h2 = Spans(own)(b, e).view(np.int64), Spans(own ^ np.uint32(0x5A5A))(b, e).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc]), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array((e - b).astype(np.int32))], ["doc_id", "line_no", "h1", "h2", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, line_no int, h1 long, h2 long, n int")
@@ -200,7 +245,7 @@ def verify(lines: list[str], h1: np.ndarray, side: np.ndarray, cuts: np.ndarray,
     ok = [np.zeros(0, bool)]
     for k in range(0, len(a), PAIRS):
         x, y = a[k : k + PAIRS], b[k : k + PAIRS]
-        ok.append(edit_within(codes, at[x], n[x], at[y], n[y], tau))
+        ok.append(edit_within(codes, *stripped(codes, at[x], n[x], at[y], n[y], tau), tau))
     good = np.concatenate(ok)
     return h1[a[good]], h1[b[good]]
 
