@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that equal, or are within two edits of, an earlier one; mere copies go."""
+    """Texts without lines that equal, or are within two edits of, an earlier one; those that lose all their words go."""
     return line_dedup.without_repeats(docs)
 
 

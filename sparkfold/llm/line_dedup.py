@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import automata as au
 from . import textvec as tv
-from .common import BLANK, BROADCAST_ROWS, WORD, cut, small_batches
+from .common import BLANK, BROADCAST_ROWS, cut, small_batches
 
 TAU = 2
 #: Shorter lines are compared for equality only: two edits may make another line of them.
@@ -305,20 +305,17 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return out.select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), kept.alias("kept"))
 
 
-def without_repeats(docs: DataFrame, least_share: float = 0.5, tau: int = TAU) -> DataFrame:
+def without_repeats(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """The columns of docs with texts less the lines that aren't kept; n_chars, where there is one, follows.
 
-    A document of which less than least_share of its words is left is a copy of others and goes, as does
-    one that lost all its words; documents that lose no line stay as they are.
+    A document goes only when it lost lines and has no word left; documents that lose no line stay as they are.
     """
     gone = line_classes(docs, tau).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     joined = keyed.join(gone, "_id", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    count = lambda c: F.size(F.split(F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), WORD, "x"), "x")) - 1
-    enough = F.col("_gone").isNull() | ((count("_left") >= least_share * count("text")) & (F.regexp_replace("_left", BLANK, "") != ""))
-    out = out.where(enough).withColumn("text", F.col("_left"))
+    out = out.where(F.col("_gone").isNull() | (F.regexp_replace("_left", BLANK, "") != "")).withColumn("text", F.col("_left"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(docs.columns)

@@ -117,6 +117,15 @@ def test_near_lines_link(spark):
     assert got == {0: (0, 2, True), 1: (1, 2, False), 2: (2, 2, False), 3: (3, 0, True), 4: (4, 0, True), 5: (5, 0, True), 6: (0, 2, False)}
 
 
+def test_unique_lines_stay_beside_repeated_ones(spark):
+    """A document goes only with its last word, however few of its words are left."""
+    shared = [f"shared sentence {k * 1111} of {w}, which is to be found in a good many texts" for k, w in enumerate(VOCABULARY[:4])]
+    texts = ["\n".join(shared), "\n".join([*shared, "own words only"]), "\n".join(shared[1:] + ["", " "])]
+    df = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in line_dedup.without_repeats(df).collect()}
+    assert got.keys() == {0, 1} and got[0] == (texts[0], len(texts[0])) and got[1] == ("own words only", 14)
+
+
 def test_ngram_components(spark, docs, empty):
     table = [(d, t) for d, t, *_ in rows()]
     sets = []
