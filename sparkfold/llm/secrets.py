@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from . import textvec as tv
 from .common import small_batches
 
-#: A candidate is a run of these bytes, at least SHORTEST of them, with a digit or of both cases.
+#: A candidate is a run of these bytes, at least SHORTEST of them, with a digit or of both cases, or with a known prefix or
+#: an assignment or a word of NEAR_SECRETS before it.
 SHORTEST = 14
 RUN = re.compile(rb"[A-Za-z0-9_\-+/=.~]{%d,}" % SHORTEST)
 AROUND = 3
 TREES, DEPTH, CUTS, TRAIN_ROWS, SEED = 40, 9, 24, 6000, 20240229
 SECRET = 0.5
+KNOWN = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_|sk_live_|xox[abpr]-|glpat-|AIza|npm_|eyJ")
 
 #: Words that stand near secrets, words that stand near harmless digests, and common English stems.
 NEAR_SECRETS = frozenset("token secret password passwd pwd key apikey api_key access_key secret_key bearer authorization auth credential credentials private client_secret aws_access_key_id aws_secret_access_key".split())
@@ -45,6 +47,21 @@ class Finding:
     label: int = 0
 
 
+def words_before(before: str) -> list[str]:
+    return re.findall(r"[a-z0-9_]+", before.lower())[-AROUND:]
+
+
+def assigned(before: str) -> bool:
+    return before.rstrip("\"' ").endswith(("=", ":"))
+
+
+def is_candidate(own: str, before: str) -> bool:
+    """Whether the forest is to judge a run; runs without digits and of one case need a sign of a secret."""
+    if re.search(r"[0-9]", own) or (re.search(r"[a-z]", own) and re.search(r"[A-Z]", own)):
+        return True
+    return bool(KNOWN.match(own)) or assigned(before) or any(w in NEAR_SECRETS for w in words_before(before))
+
+
 def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
     """Labelled findings of common shapes: keys and tokens (1); digests, paths, names, numbers and ids in harmless places (0)."""
     r = random.Random(seed)
@@ -108,14 +125,14 @@ class Featurizer:
         codes = self._codes(t)
         low = t.lower()
         covered = sum(len(m) for m in self.stems.findall(low))
-        near = re.findall(r"[a-z0-9_]+", f.before.lower())[-AROUND:]
+        near = words_before(f.before)
         is_hex = not re.search(r"[^0-9a-fA-F]", t)
         return [
             float(n), kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n,
             sum(a != b for a, b in zip(kinds[1:], kinds, strict=False)) / n, float(self.bits[codes[:-1], codes[1:]].mean()), covered / n,
             float(t.count("/")), float(t.count(".")), float(bool(re.search(r"\.[a-z]{2,5}$", t))), float(t.count("_") + t.count("-")), float(is_hex), len(set(t)) / min(n, 64),
-            float(any(w in NEAR_SECRETS for w in near)), float(any(w in NEAR_DIGESTS for w in near)), float(f.before.rstrip("\"' ")[-1:] in ("=", ":") and f.before != ""), float(f.before[-1:] in "\"'" and f.before != ""),
-            float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", t))), float(bool(re.match(r"(AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_|sk_live_|xox[abpr]-|glpat-|AIza|npm_|eyJ", t))),
+            float(any(w in NEAR_SECRETS for w in near)), float(any(w in NEAR_DIGESTS for w in near)), float(assigned(f.before)), float(f.before[-1:] in "\"'" and f.before != ""),
+            float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", t))), float(bool(KNOWN.match(t))),
             float(is_hex and (low == t or t.upper() == t)), float(t.isdigit()),
         ]
 
@@ -203,10 +220,12 @@ class Scanner:
                     at, own = at + len(name) + 1, value
                 kept = own.strip(b".-~")
                 at, own = at + own.find(kept) if kept else at, kept
-                if len(own) < SHORTEST or at <= upto or not (re.search(rb"[0-9]", own) or (re.search(rb"[a-z]", own) and re.search(rb"[A-Z]", own) and re.search(rb"[/+=]", own))):
+                if len(own) < SHORTEST or at <= upto:
                     continue
-                upto = at
                 before = text[max(0, at - 60) : at].decode("utf-8", "replace")
+                if not is_candidate(own.decode(), before):
+                    continue
+                upto = at
                 after = text[at + len(own) : at + len(own) + 40].decode("utf-8", "replace")
                 out.append((at, Finding(own.decode(), before, after)))
         return out
@@ -217,16 +236,11 @@ def _trained(findings: tuple[Finding, ...] | None) -> Scanner:
     return Scanner.train(list(findings) if findings is not None else None)
 
 
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_DIGIT[list(b"/+=")] = True
-
-
 def scan(docs: DataFrame, findings: list[Finding] | None = None) -> DataFrame:
     """doc_id, begin, length, candidate_crc32, probability, secret: a row for each candidate of each row of docs.
 
-    begin: in UTF-8 bytes of the text; secret: probability of SECRET and more. Words of SHORTEST bytes and more
-    with a digit or one of /+= are looked into, whole texts always. Null and empty texts have no candidates. The
+    begin: in UTF-8 bytes of the text; secret: probability of SECRET and more. All words of SHORTEST bytes and more
+    are looked into. Null and empty texts have no candidates. The
     labelled findings, TRAIN_ROWS at most, are sent to the workers, each of which trains the same forest once.
     """
     import zlib
@@ -242,8 +256,7 @@ def scan(docs: DataFrame, findings: list[Finding] | None = None) -> DataFrame:
             for first, some in tv.slices(tv.strings(batch.column("text"))):
                 data, at = tv.raw(some)
                 begin, end, _ = tv.words(data, at)
-                marks = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-                full = (end - begin >= SHORTEST) & (marks[end] > marks[begin])
+                full = end - begin >= SHORTEST
                 doc = np.searchsorted(at, begin[full], "right") - 1
                 for d in np.unique(doc).tolist():
                     text = data[at[d] : at[d + 1]].tobytes()
