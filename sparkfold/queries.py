@@ -53,6 +53,13 @@ def pair_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PAIRS, "pair_index long, query_id string, target_id string")
 
 
+def table_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair list from the table: every protein with itself and with every later one."""
+    ids = residues(spark, sf_dir).select("idx", "input_id").distinct()
+    j = pr.all_pairs(ids.select("idx"), include_self=True).join(ids.toDF("query_index", "query_id"), "query_index").join(ids.toDF("target_index", "target_id"), "target_index")
+    return j.select("pair_index", "query_id", "target_id")
+
+
 def r6(c, name: str, digits: int = 6):
     return F.round(c, digits).alias(name)
 
@@ -87,12 +94,20 @@ def pair_tiles(spark, sf_dir):
     return pr.tile_members(p, 3).groupBy("ti", "tj").agg(F.count("*").alias("members"), F.sum("side").alias("second_side"))
 
 
-def pair_list_join(spark, sf_dir):
-    return pr.resolve_pairs(pair_list(spark), residues(spark, sf_dir).select("idx", "input_id").distinct())
+def pair_list_join(spark, sf_dir, pairs=None):
+    return pr.resolve_pairs(pair_list(spark) if pairs is None else pairs, residues(spark, sf_dir).select("idx", "input_id").distinct())
+
+
+def pair_list_join_all(spark, sf_dir):
+    return pair_list_join(spark, sf_dir, table_pairs(spark, sf_dir))
 
 
-def encode_once_set(spark, sf_dir):
-    return pr.referenced(pair_list(spark), residues(spark, sf_dir).select("idx", "input_id").distinct())
+def encode_once_set(spark, sf_dir, pairs=None):
+    return pr.referenced(pair_list(spark) if pairs is None else pairs, residues(spark, sf_dir).select("idx", "input_id").distinct())
+
+
+def encode_once_set_all(spark, sf_dir):
+    return encode_once_set(spark, sf_dir, table_pairs(spark, sf_dir))
 
 
 def ambiguous_ids(spark, sf_dir):
@@ -131,9 +146,13 @@ def hard_alignment_self(spark, sf_dir):
     return al.align_all(proteins(spark, sf_dir), HARD, include_self=True, tile=4).select("pair_index", "query_index", "target_index", r6(F.col("raw_sw_score"), "raw_sw_score"))
 
 
-def pair_list_alignment(spark, sf_dir):
+def pair_list_alignment(spark, sf_dir, pairs=None):
     p = proteins(spark, sf_dir)
-    return al.align_pairs(pr.resolve_pairs(pair_list(spark), p), p, HARD).select("pair_index", "query_index", "target_index", r6(F.col("raw_sw_score"), "raw_sw_score"), F.col("path.aligned_pairs").alias("aligned_pairs"))
+    return al.align_pairs(pr.resolve_pairs(pair_list(spark) if pairs is None else pairs, p), p, HARD).select("pair_index", "query_index", "target_index", r6(F.col("raw_sw_score"), "raw_sw_score"), F.col("path.aligned_pairs").alias("aligned_pairs"))
+
+
+def pair_list_alignment_all(spark, sf_dir):
+    return pair_list_alignment(spark, sf_dir, table_pairs(spark, sf_dir))
 
 
 def path_steps(spark, sf_dir):
@@ -220,10 +239,10 @@ def metric_panel(spark, sf_dir):
     return m.select("pair_index", *[r6(F.col(f"metrics.{c}"), c, 5) for c in ("identity", "rmsd", "tm_score_query", "tm_score_target", "lddt")], F.col("metrics.ecs").alias("ecs"), F.col("metrics.invalid_reasons")["ecs"].alias("ecs_reason"))
 
 
-def score_alignment(spark, sf_dir):
+def score_alignment(spark, sf_dir, pairs=None):
     """Metrics of the diagonal path of each pair of the list."""
     p = proteins(spark, sf_dir)
-    pairs = pr.resolve_pairs(pair_list(spark), p)
+    pairs = pr.resolve_pairs(pair_list(spark) if pairs is None else pairs, p)
     n = p.select("idx", "length")
     j = pairs.join(n.toDF("query_index", "lq"), "query_index").join(n.toDF("target_index", "lt"), "target_index")
     steps = j.withColumn("step", F.explode(F.sequence(F.lit(0), F.least("lq", "lt") - 1))).select("pair_index", "query_index", "target_index", "step", F.col("step").alias("q"), F.col("step").alias("t"))
@@ -231,6 +250,10 @@ def score_alignment(spark, sf_dir):
     return s.select("pair_index", F.col("path.aligned_pairs").alias("aligned_pairs"), *[r6(F.col(f"metrics.{c}"), c) for c in ("coverage_query", "coverage_target", "coverage_mean", "identity")])
 
 
+def score_alignment_all(spark, sf_dir):
+    return score_alignment(spark, sf_dir, table_pairs(spark, sf_dir))
+
+
 def result_rollup(spark, sf_dir):
     return _hard(spark, sf_dir).groupBy("query_index").agg(F.count("*").alias("pairs"), r6(F.avg("raw_sw_score"), "mean_score"), r6(F.max("raw_sw_score"), "best_score"))
 
@@ -309,6 +332,13 @@ def gemm(spark, sf_dir):
     return a.join(b, "k").groupBy(F.col("residue_index").alias("i"), "j").agg(r6(F.sum(F.col("a") * F.col("b")), "value"))
 
 
+def gemm_all(spark, sf_dir):
+    """Rows of each protein times the transposed rows of each later one."""
+    r = residues(spark, sf_dir)
+    cells = al.similarity_cells(r, pr.all_pairs(r.select("idx").distinct()))
+    return cells.select("pair_index", "i", "j", r6(F.col("score"), "value"))
+
+
 def design_scores(spark, sf_dir):
     """Mean negative log-probability and recovery of the letters, by the first 21 values as logits."""
     v = _logits(spark, sf_dir).withColumn("token", F.instr(F.lit(AMINO), F.col("code")) - 1).withColumn("lp", ex.log_softmax(F.col("v")))
@@ -454,10 +484,10 @@ def designs(spark, sf_dir):
 
 
 QUERIES = (
-    pair_enumeration, pair_enumeration_self, pair_index_decode, pair_tiles, pair_list_join, encode_once_set, ambiguous_ids, missing_ids, pair_cost,
-    hard_alignment, hard_alignment_positive_extension, hard_alignment_self, pair_list_alignment, path_steps, path_spans, soft_log_partition, both_modes, soft_consensus, similarity_stats,
-    coverage, identity, length_normalised_scores, superposition_moments, rmsd, tm_score, contact_pairs, lddt, metric_panel, score_alignment, result_rollup,
-    knn_residues, gathered_messages, rbf_expansion, positional_classes, virtual_cb, softmax_rows, log_softmax_rows, layer_norm_rows, gelu_values, axpy_rows, row_reductions, gemm, design_scores, splitmix_values, decode_order,
+    pair_enumeration, pair_enumeration_self, pair_index_decode, pair_tiles, pair_list_join, pair_list_join_all, encode_once_set, encode_once_set_all, ambiguous_ids, missing_ids, pair_cost,
+    hard_alignment, hard_alignment_positive_extension, hard_alignment_self, pair_list_alignment, pair_list_alignment_all, path_steps, path_spans, soft_log_partition, both_modes, soft_consensus, similarity_stats,
+    coverage, identity, length_normalised_scores, superposition_moments, rmsd, tm_score, contact_pairs, lddt, metric_panel, score_alignment, score_alignment_all, result_rollup,
+    knn_residues, gathered_messages, rbf_expansion, positional_classes, virtual_cb, softmax_rows, log_softmax_rows, layer_norm_rows, gelu_values, axpy_rows, row_reductions, gemm, gemm_all, design_scores, splitmix_values, decode_order,
     tokenized, residue_classification, artifact_names, format_detection, alternate_locations, chain_breaks, pdb_scan, fasta_scan, pair_list_scan, gapped_fasta, summary_table, cache_counters, package_table,
     encoded_structures, encoded_sequences, designs,
 )

@@ -278,3 +278,23 @@ def test_compressed_sequences_are_read(spark, tmp_path):
     with gzip.open(tmp_path / "s.fasta.gz", "wt") as f:
         f.write(">a\nAC\n")
     assert tb.read_fasta(spark, str(tmp_path / "s.fasta.gz")).first()["residues"] == "AC"
+
+
+def test_pair_queries_over_all_proteins(spark, tmp_path):
+    from sparkfold import queries as q
+
+    x = RNG.standard_normal((18, 64))
+    label = [k % 3 for k in range(15)] + [2] * 3
+    spark.createDataFrame([(k, [float(a) for a in v], n) for k, (v, n) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = [x[[k for k in range(18) if label[k] == n]] for n in range(3)]
+    got = {(r["pair_index"], r["i"], r["j"]): r["value"] for r in q.gemm_all(spark, str(tmp_path)).collect()}
+    want = {(k, i, j): v for k, (a, b) in enumerate([(0, 1), (0, 2), (1, 2)]) for (i, j), v in np.ndenumerate(own[a] @ own[b].T)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    both = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    joined = sorted((r["pair_index"], r["query_index"], r["target_index"]) for r in q.pair_list_join_all(spark, str(tmp_path)).collect())
+    assert joined == [(k, *p) for k, p in enumerate(both)]
+    assert sorted(r["input_id"] for r in q.encode_once_set_all(spark, str(tmp_path)).collect()) == ["p0", "p1", "p2"]
+    scores = lambda df: sorted((r["pair_index"], r["query_index"], r["target_index"], r["raw_sw_score"]) for r in df.collect())
+    assert scores(q.pair_list_alignment_all(spark, str(tmp_path))) == scores(q.hard_alignment_self(spark, str(tmp_path)))
+    aligned = {r["pair_index"]: r["aligned_pairs"] for r in q.score_alignment_all(spark, str(tmp_path)).collect()}
+    assert aligned == {k: min(len(own[a]), len(own[b])) for k, (a, b) in enumerate(both)}
