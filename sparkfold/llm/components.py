@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join
 
 #: Links that one task joins at most (in memory, about 100 bytes each).
 LINKS_PER_TASK = 500_000
@@ -42,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links are dealt to as many tasks as LINKS_PER_TASK asks for, and each task reduces its own to a
     forest of stars. If one task holds them all, that is the result. Else the stars are joined in rounds: labels
     pass to neighbours (minima with partial aggregation) and jump to their label's label; rounds grow
-    with the logarithm of the longest path. Lineage is cut in the shared checkpoint folder, and nothing but
+    with the logarithm of the longest path. Nodes of many links and labels of many nodes are joined apart from the rest. Lineage is cut in the shared checkpoint folder, and nothing but
     counts comes to the driver. No links give no rows.
     """
     links = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
@@ -51,13 +51,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if tasks == 1:
         return cut(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
     stars = cut(stars)
-    both = cut(stars.where("a <> b").union(stars.where("a <> b").select("b", "a")).toDF("u", "v"))
+    both = cut(stars.where("a <> b").union(stars.where("a <> b").select("b", "a")).toDF("node", "other"))
     label = cut(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        heard = both.join(label, both["v"] == label["node"]).select(F.col("u").alias("node"), "label")
-        new = label.union(heard).groupBy("node").agg(F.min("label").alias("label"))
-        up = label.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = new.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"))
+        heard = hot_join(both, label, ["node"], F.col("other"), "inner").select(F.col("other").alias("node"), "label")
+        new = cut(label.union(heard).groupBy("node").agg(F.min("label").alias("label")))
+        up = label.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("above"))  # roots stay where they are
+        new = hot_join(new, up, ["label"], F.col("node")).select("node", F.least("label", F.coalesce("above", "label")).alias("label"))
         new = cut(new.join(label.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")))
         label = new.select("node", "label")
         if not new.where("moved").limit(1).count():

@@ -31,7 +31,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

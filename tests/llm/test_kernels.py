@@ -224,14 +224,12 @@ def test_graph_finds_links_of_crowds_and_pairs():
     x[100:200] = x[0] + 0.02 * rng.standard_normal((100, 16))
     x[300:320] = x[1]
     x /= np.linalg.norm(x, axis=1)[:, None]
-    ids = np.arange(len(x)) * 3
-    block = pa.table({"vec_id": ids.tolist() * 2, "unit": [v.tobytes() for v in x] * 2, "side": [0] * len(x) + [1] * len(x)})
-    out = vg.graph_links(block).to_pydict()
-    exact = (x @ x.T >= vg.COSINE).sum(1) - 1
-    got = {a: b for w, a, b in zip(out["what"], out["a"], out["b"], strict=True) if w == 0}
-    assert sum(min(got[i], e) for i, e in zip(ids.tolist(), exact.tolist(), strict=True)) >= 0.95 * exact.sum()
-    assert all(got[i] <= e for i, e in zip(ids.tolist(), exact.tolist(), strict=True))
-
+    exact = x @ x.T >= vg.COSINE
+    graph = vg.Graph(x, np.arange(700) * 3)
+    met, recall, _ = graph.audited(x, True)
+    assert recall >= vg.RECALL and not (met & ~exact).any() and met.sum() >= 0.99 * exact.sum()
+    again = vg.Graph.unpacked(x, np.arange(700) * 3, graph.packed())
+    assert (again.audited(x, True)[0] == met).all() and [n.shape for n in again.near] == [n.shape for n in graph.near]
 
 def test_unit_vectors_leave_out_what_has_no_cosine():
     _, ok = vg.unit([[1.0, 2.0], None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [1.0], [3.0, 4.0]])
