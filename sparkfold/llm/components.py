@@ -1,4 +1,4 @@
-"""Connected components: forests within bounded partitions, then labels that flow and jump by joins."""
+"""Connected components: forests within bounded partitions, then stars that are rehung by joins."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import cut, hot_join, stored
 
 #: Links that one task joins at most (in memory, about 100 bytes each).
 LINKS_PER_TASK = 500_000
@@ -40,25 +40,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that links reach, for each node of links (columns a and b, longs).
 
     Links are dealt to as many tasks as LINKS_PER_TASK asks for, and each task reduces its own to a
-    forest of stars. If one task holds them all, that is the result. Else the stars are joined in rounds: labels
-    pass to neighbours (minima with partial aggregation) and jump to their label's label; rounds grow
-    with the logarithm of the longest path. Nodes of many links and labels of many nodes are joined apart from the rest. Lineage is cut in the shared checkpoint folder, and nothing but
-    counts comes to the driver. No links give no rows.
+    forest of stars. If one task holds them all, that is the result. Else rounds of large stars and small stars hang
+    nodes on the least of their neighbours, until each node hangs on a root; rounds grow with the logarithm of the
+    nodes. Nodes of many links are joined apart from the rest. Rounds are written tables in the shared
+    checkpoint folder, and nothing but counts comes to the driver. No links give no rows.
     """
     links = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
     tasks = max(1, -(-links.count() // LINKS_PER_TASK))
     stars = links.repartition(tasks).mapInArrow(_forest, "a long, b long")
     if tasks == 1:
         return cut(stars.select(F.col("a").alias("node"), F.col("b").alias("component")))
-    stars = cut(stars)
-    both = cut(stars.where("a <> b").union(stars.where("a <> b").select("b", "a")).toDF("node", "other"))
-    label = cut(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    edges = stored(stars.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    nodes = cut(stars.select(F.col("a").alias("node")).distinct())
     while True:
-        heard = hot_join(both, label, ["node"], F.col("other"), "inner").select(F.col("other").alias("node"), "label")
-        new = cut(label.union(heard).groupBy("node").agg(F.min("label").alias("label")))
-        up = label.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("above"))  # roots stay where they are
-        new = hot_join(new, up, ["label"], F.col("node")).select("node", F.least("label", F.coalesce("above", "label")).alias("label"))
-        new = cut(new.join(label.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")))
-        label = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return label.withColumnRenamed("label", "component")
+        # each node's greater neighbours are hung on the least of all its neighbours, then its lesser ones
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = stored(_hung(both.where("u < v"), both))
+        edges = stored(_hung(edges, edges).union(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct())
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        if not edges.join(roots, "u", "left_semi").limit(1).count() and not edges.groupBy("u").count().where("count > 1").limit(1).count():
+            return cut(nodes.join(edges.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component")))
+
+
+def _hung(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """(v, least of u and its neighbours `around`) for each of the edges (u, v), without loops."""
+    least = around.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    return hot_join(edges, least, ["u"], F.col("v"), "inner").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()

@@ -202,8 +202,8 @@ def test_trie_finds_all_components():
 
         for i, j in sides:
             own = [t for t in range(len(sets)) if t % 3 in (i, j)]
-            table = pa.table({"n": [len(sets[t]) for t in own], "comp": own, "side": [0 if t % 3 == i else 1 for t in own], "h": [keep[t] for t in own], "df": [[count[x] for x in keep[t]] for t in own]})
-            for a, b in nj.trie_links(table):
+            table = pa.table({"n": [len(sets[t]) for t in own], "comp": own, "side": [0 if t % 3 == i else 1 for t in own], "h": [keep[t] for t in own], "df": [[count[x] for x in keep[t]] for t in own], "grp": [0] * len(own)})
+            for a, b in zip(*nj._bin_links(table).to_pydict().values(), strict=True):
                 parent[find(max(find(a), find(b)))] = min(find(a), find(b))
         return [find(v) for v in range(len(sets))]
 
