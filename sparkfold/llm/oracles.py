@@ -122,5 +122,30 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(goal) AS
 """
 
 
+#: DuckDB's levenshtein counts bytes, so the other characters of a pair are exchanged for control characters first.
+OP2 = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents WHERE text IS NOT NULL
+), lines AS MATERIALIZED (
+  SELECT doc_id, line_no, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM raw
+), classes AS MATERIALIZED (
+  SELECT x, length(x) AS n, min({'d': doc_id, 'l': line_no}) AS rep FROM lines WHERE x <> '' GROUP BY x
+), pairs AS MATERIALIZED (
+  SELECT a.x AS a, b.x AS b, array_to_string(list_distinct(regexp_extract_all(a.x || b.x, '[^\x00-\x7F]')), '') AS wide
+  FROM classes a JOIN classes b ON a.x < b.x AND b.n BETWEEN a.n - 2 AND a.n + 2 WHERE levenshtein(a.x, b.x) <= 8
+), near AS MATERIALIZED (
+  SELECT a, b FROM pairs, (SELECT array_to_string(list_transform([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31], lambda c: chr(c)), '') AS other)
+  WHERE levenshtein(translate(a, wide, other), translate(b, wide, other)) <= 2
+), ends AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), linked AS (
+  SELECT a AS x, count(*) AS n_links, min(rep) AS first FROM ends JOIN classes ON x = b GROUP BY a
+)
+SELECT doc_id, line_no, rep.d AS rep_doc_id, rep.l AS rep_line_no, coalesce(n_links, 0)::BIGINT AS n_links,
+       doc_id = rep.d AND line_no = rep.l AND (first IS NULL OR rep < first) AS kept
+FROM lines JOIN classes USING (x) LEFT JOIN linked USING (x)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_vectors": OP3, "op5_ngram_join": OP5, "op6_mix": OP6, "op8_quality": OP8}
+    return {"op2_line_dedup": OP2, "op3_near_vectors": OP3, "op5_ngram_join": OP5, "op6_mix": OP6, "op8_quality": OP8}
