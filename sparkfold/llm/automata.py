@@ -16,15 +16,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def run(tables: np.ndarray, starts: np.ndarray, codes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def run(tables: np.ndarray, starts: np.ndarray, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Final states and numbers of phrase ends, a row for each start state and a column for each string.
 
     tables: all automata below each other; a string is codes[begin : begin + length]. Strings advance
-    together, one character a step.
+    together, one character a step. at: states to begin in, for each start and string, instead of the starts.
     """
     order = np.argsort(-length, kind="stable")
     begin, left = begin[order], length[order]
-    state = np.repeat(starts[:, None].astype(np.int64), len(order), 1)
+    state = np.repeat(starts[:, None].astype(np.int64), len(order), 1) if at is None else at[:, order].astype(np.int64)
     ends = np.zeros(state.shape, np.int32)
     width, flat = tables.shape[1], tables.ravel()
     active = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), "left")  # strings longer than t
@@ -40,7 +40,7 @@ def run(tables: np.ndarray, starts: np.ndarray, codes: np.ndarray, begin: np.nda
 def suffix_automaton(codes: list[int], width: int, base: int) -> np.ndarray:
     """Rows of the automaton of all substrings, the root first, for states numbered from `base`.
 
-    Where a state can't read a character, the entry breaks and reads it from the root.
+    Where a state can't read a character, the entry breaks and reads it from the root; the root itself has no phrase to end.
     """
     link, size, step = [-1], [0], [{}]
     last = 0
@@ -71,8 +71,11 @@ def suffix_automaton(codes: list[int], width: int, base: int) -> np.ndarray:
     for s, row in enumerate(step):
         if row:
             table[s, list(row)] = list(row.values())
-    root = np.where(table[0] >= 0, table[0], 0)
-    return np.where(table >= 0, table + base, (root + base)[None] | BREAK).astype(np.int32)
+    # one state more, the last: after a character that occurs nowhere, which is a phrase of its own
+    again = np.where(table[0] >= 0, table[0], len(step)) + base
+    rows = np.where(table >= 0, table + base, again[None] | BREAK)
+    rows[0] = again
+    return np.concatenate([rows, again[None] | BREAK]).astype(np.int32)
 
 
 def fuzzy_lexicon(entries: list[tuple[str, bool]], edits, classes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
