@@ -7,6 +7,7 @@ toxic documents hold far more often than others do.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ from . import automata as au
 from . import textvec as tv
 from .common import small_batches
 
-#: Labelled documents of each class that are learned from, those of the smallest hashes, and terms at most.
-TRAIN_DOCS, MAX_TERMS = 1200, 120
+#: Labelled documents of each class that are learned from, those of the smallest hashes, and terms that share an automaton.
+TRAIN_DOCS, TERMS_TOGETHER = 1200, 120
+#: Chance, over all prefixes, that a term is taken which toxic documents don't hold more often than others.
+CHANCE = 0.05
 #: Words on each side of a hit that make its context.
 WINDOW = 8
 QUOTES = "\"“”„«»‹›‘’`"
@@ -50,35 +53,46 @@ def lexicon(docs: list[tuple[str, int]]) -> tuple[tuple[str, bool], ...]:
     """(term, open) pairs from (text, label) pairs.
 
     Words are kept in a trie with the toxic and other documents below each prefix. The shallowest
-    prefixes that hardly any other document has, and enough toxic ones do, are drawn out as far as
-    all their words agree: to a word, or to an open stem of several.
+    prefixes that hardly any other document has, and enough toxic ones do (so many that chance would hardly
+    give one such term, see CHANCE), are drawn out as far as all their words agree: to a word, or to an
+    open stem of several. All terms found are kept.
     """
     bags = [({w for w in (_TRIM.sub("", x) for x in t.lower().split()) if w}, y) for t, y in docs]
     toxic = sum(y for _, y in bags)
     if not toxic or toxic == len(bags):
         return ()
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    # documents of a term that none but toxic ones have by chance alone, among as many terms as there are
+    kinds = len(set().union(*(bag for bag, _ in bags)))
+    need = max(4, math.ceil(math.log(max(kinds, 1) / CHANCE) / math.log(len(bags) / toxic)))
+    count: dict[str, list[int]] = {}
     below: dict[str, set[str]] = defaultdict(set)
-    for bag, y in bags:
-        prefixes = {w[:k] for w in bag for k in range(1, min(len(w), 24) + 1)}
-        for p in prefixes:
-            count[p][y] += 1
-    need = max(4, round(0.02 * toxic))
+    live = [(bag, y) for bag, y in bags]
+    k = 0
+    while any(bag for bag, _ in live):  # one letter more at a time, and only below prefixes that enough toxic documents have
+        k += 1
+        level: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for bag, y in live:
+            for p in {w[:k] for w in bag}:
+                level[p][y] += 1
+        count |= level
+        live = [({w for w in bag if len(w) > k and level[w[:k]][1] >= need}, y) for bag, y in live]
     pure = {p for p, (a, b) in count.items() if len(p) >= 3 and b >= need and a * toxic * 25 <= b * (len(bags) - toxic)}
     top = {p for p in pure if p[:-1] not in pure}
     for bag, y in bags:
         if y:
             for w in bag:
                 for k in range(3, len(w) + 1):
+                    if w[:k] not in count:
+                        break
                     if w[:k] in top:
                         below[w[:k]].add(w)
     found = []
     for p in top:
-        words = sorted(below[p], key=lambda w: (-count[w][1], w))
-        if count[words[0]][1] * 5 >= count[p][1] * 4:
+        words = sorted(below[p], key=lambda w: (-count.get(w, (0, 0))[1], w))
+        if count.get(words[0], (0, 0))[1] * 5 >= count[p][1] * 4:
             found.append((count[words[0]][1], words[0], False))
             continue
-        common = [w for w in words if count[w][1] * 50 >= count[p][1]]
+        common = [w for w in words if count.get(w, (0, 0))[1] * 50 >= count[p][1]]
         core = common or words
         stem = core[0]
         for w in core:
@@ -87,24 +101,36 @@ def lexicon(docs: list[tuple[str, int]]) -> tuple[tuple[str, bool], ...]:
         found.append((count[p][1], stem, len(words) > max(3, len(common)) or stem not in below[p]))
     found = [f for f in found if f[0] >= need]
     found.sort(key=lambda x: (-x[0], x[1]))
-    return tuple((stem, is_open) for _, stem, is_open in found[:MAX_TERMS])
+    return tuple((stem, is_open) for _, stem, is_open in found)
 
 
 class Scorer:
     def __init__(self, terms: tuple[tuple[str, bool], ...], weights: tuple[float, ...] = ()):
         self.terms, self.weights = terms, np.array(weights)
         letters = sorted({ch for term, _ in terms for ch in term})
-        self.classes = {ch: k + 1 for k, ch in enumerate(letters)}
-        self.table, self.outcome = au.fuzzy_lexicon(list(terms), edits, self.classes)
-        self.class_of = np.zeros(0x110000, np.int8)
+        classes = {ch: k + 1 for k, ch in enumerate(letters)}
+        self.class_of = np.zeros(0x110000, np.int32)
         self.class_of[[ord(ch) for ch in letters]] = range(1, len(letters) + 1)
+        # terms that are next to each other share an automaton; a word runs through all of them at once
+        order = sorted(range(len(terms)), key=lambda k: terms[k])
+        tables, outcomes, starts, base = [], [], [], 0
+        for a in range(0, len(order), TERMS_TOGETHER):
+            some = order[a : a + TERMS_TOGETHER]
+            table, outcome = au.fuzzy_lexicon([terms[k] for k in some], edits, classes)
+            tables.append(table + base)
+            outcomes.append(np.where(outcome >= 0, 4 * np.array(some)[outcome >> 2] + (outcome & 3), -1))
+            starts.append(base)
+            base += len(table)
+        self.table, self.outcome, self.starts = np.concatenate(tables), np.concatenate(outcomes), np.array(starts)
 
     def outcomes(self, words: list[str]) -> np.ndarray:
-        """4 * term + errors of the closest term of each word, or -1."""
+        """4 * term + errors of the closest term of each word (the first of equals), or -1."""
         size = np.array([len(w) for w in words], np.int64)
         codes = self.class_of[au.code_points("".join(words))]
-        state, _ = au.run(self.table, np.zeros(1, np.int64), codes, np.cumsum(size) - size, size)
-        return self.outcome[state[0]]
+        state, _ = au.run(self.table, self.starts, codes, np.cumsum(size) - size, size)
+        got = self.outcome[state]
+        rank = np.where(got >= 0, (got & 3) * (len(self.terms) + 1) + (got >> 2), 1 << 40)
+        return np.take_along_axis(got, rank.argmin(0)[None], 0)[0]
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Documents with hits, and their features; all others have zeros."""
