@@ -25,31 +25,20 @@ WITH sizes AS (
 ), s6 AS (
   SELECT *, CASE WHEN is_full THEN cap::DOUBLE ELSE (SELECT level FROM s5 WHERE NOT is_full ORDER BY ratio, sid LIMIT 1) * w END AS target FROM s5
 ), s7 AS (
-  SELECT *, floor(target * 1024)::HUGEINT AS share FROM s6
+  SELECT *, greatest(1, least(64, source_size // 16))::BIGINT AS width FROM s6
 ), s8 AS (
-  SELECT *, sum(share) OVER (ORDER BY sid) - share AS cum, sum(share) OVER () AS all_share FROM s7
-), k AS (
-  SELECT greatest(1, ceil(max(all_share)::DOUBLE / 1024 / 64))::BIGINT AS n FROM s8
-), m AS (
-  SELECT n, CASE WHEN n > 1 THEN ceil(log2(n))::INT ELSE 1 END AS bits FROM k
-), slots AS (
-  SELECT i, list_sum(list_transform(range(bits), lambda b: ((i >> b) & 1) << (bits - 1 - b)))::BIGINT AS j, bits
-  FROM m, LATERAL (SELECT unnest(range(n)) AS i)
-), ranges AS (
-  SELECT sid, ceil(source_size / 64)::BIGINT AS blocks,
-         ((cum * (1::HUGEINT << bits) + greatest(all_share, 1) - 1) // greatest(all_share, 1))::BIGINT AS j0,
-         (((cum + share) * (1::HUGEINT << bits) + greatest(all_share, 1) - 1) // greatest(all_share, 1))::BIGINT AS j1
-  FROM s8, m WHERE source_size > 0
-), used AS (
-  SELECT sid, blocks, least(count(j), 2 * blocks) AS n FROM ranges LEFT JOIN slots ON j >= j0 AND j < j1 GROUP BY sid, blocks
+  SELECT *, ceil(source_size / width)::BIGINT AS blocks FROM s7
+), s9 AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size)::BIGINT * blocks
+    + least(round((target - floor(target / source_size) * source_size) / width)::BIGINT, blocks), 2 * blocks) END AS n FROM s8
 ), placed AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, s.sid,
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.sid, s.width, s.blocks, s.n,
          (sum(d.size) OVER (PARTITION BY s.sid ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
-  FROM sizes d JOIN s8 s USING (src)
+  FROM sizes d JOIN s9 s USING (src)
 )
 SELECT doc_id, size, p.source_size, p.target,
-       CASE WHEN size = 0 THEN 0 ELSE size * (n // blocks) + greatest(0, least(start + size, (n % blocks) * 64) - start) END::BIGINT AS taken
-FROM placed p LEFT JOIN used USING (sid)
+       CASE WHEN size = 0 THEN 0 ELSE size * (n // blocks) + greatest(0, least(start + size, (n % blocks) * width) - start) END::BIGINT AS taken
+FROM placed p
 """
 
 OP8 = rf"""

@@ -209,6 +209,16 @@ def test_mix_meets_targets_and_never_exceeds_twice(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_small_sources_get_their_share(spark):
+    r = random.Random(3)
+    data = [(k, prose(r, 400), "en", "large", 0) for k in range(30)] + [(100 + k, prose(r, 20), "en", f"small{k:02d}", 0) for k in range(12)] + [(200, "one", "en", "tiny", 0), (201, "a b c", "en", "tiny3", 0)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA)).join(spark.createDataFrame(data, SCHEMA).select("doc_id", "source"), "doc_id")
+    for x in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect():
+        assert abs(x["taken"] - x["target"]) <= max(1, min(64, x["size"] // 16)), x
+    left = {x["doc_id"]: x["text"] for x in mixing.mixed_documents(spark.createDataFrame([(1, "a\n b  c\td e f", "en", "x", 0), (2, "one two three\nfour five six", "en", "y", 0)], SCHEMA)).collect()}
+    assert all(t in ("a\n b  c\td e f", "one two three\nfour five six") or "a\n b  c\td e f".startswith(t) or "one two three\nfour five six".startswith(t) for t in left.values())
+
+
 def test_pieces_round_trip(docs, empty):
     model = tokenizer_file("piece_bpe_32k.model")
     got = pieces.round_trips(docs, model).collect()
