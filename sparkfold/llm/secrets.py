@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from . import textvec as tv
 from .common import small_batches
 
-#: A candidate is a run of these bytes, at least SHORTEST of them, with a digit or of both cases, or with a known prefix or
-#: an assignment or a word of NEAR_SECRETS before it.
-SHORTEST = 14
-RUN = re.compile(rb"[A-Za-z0-9_\-+/=.~]{%d,}" % SHORTEST)
+#: A candidate is a run of at least SHORTEST of these bytes that no plain word has the shape of (a digit, a mark inside,
+#: a change of case inside), or any such run with a known prefix, an assignment or a word of NEAR_SECRETS before it.
+SHORTEST = 8
+RUN = re.compile(rb"[A-Za-z0-9_\-+/=.~!@#$%%^&*?]{%d,}" % SHORTEST)
+SHAPE = re.compile(rb"[0-9+/=~@#$%^&*]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[!?_.][A-Za-z]")
 AROUND = 3
 TREES, DEPTH, CUTS, TRAIN_ROWS, SEED = 40, 9, 24, 6000, 20240229
 SECRET = 0.5
@@ -36,7 +37,9 @@ NEAR_SECRETS = frozenset("token secret password passwd pwd key apikey api_key ac
 NEAR_DIGESTS = frozenset("commit sha sha1 sha256 md5 checksum digest hash revision etag uuid guid id isbn doi version build image integrity serial order invoice tracking".split())
 COMMON = "the and ing ion ent tion for with that this from have are was not you all can her has one our out day get him his how man new now old see two way who boy did its let put say she too use data file name user test code list item page time view type node text line main core util model query table index cache store event state value field class error login admin image config server client report system service manager handler controller session request response document project package module example default public static string number".split()
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "surprise", "dictionary", "slashes", "dots", "extension", "underscores", "hex", "distinct", "near_secret", "near_digest", "assigned", "quoted", "uuid_form", "known_prefix", "same_case_hex", "digits_only")
+_NEAR = re.compile(rb"(?i)(?:^|[^a-z0-9_])(?:%s)[^a-z0-9_]" % b"|".join(sorted(w.encode() for w in NEAR_SECRETS)))
+
+FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "surprise", "dictionary", "slashes", "dots", "extension", "underscores", "hex", "distinct", "near_secret", "near_digest", "assigned", "quoted", "uuid_form", "known_prefix", "same_case_hex", "digits_only", "marks", "date_form", "web_form", "quote_after")
 
 
 @dataclass(frozen=True)
@@ -55,11 +58,14 @@ def assigned(before: str) -> bool:
     return before.rstrip("\"' ").endswith(("=", ":"))
 
 
-def is_candidate(own: str, before: str) -> bool:
-    """Whether the forest is to judge a run; runs without digits and of one case need a sign of a secret."""
-    if re.search(r"[0-9]", own) or (re.search(r"[a-z]", own) and re.search(r"[A-Z]", own)):
+def is_candidate(own: bytes, before: bytes) -> bool:
+    """Whether the forest is to judge a run; runs of the shape of a plain word need a sign of a secret."""
+    if SHAPE.search(own):
+        return True
+    if before.rstrip(b"\"' ").endswith((b"=", b":")) or KNOWN.match(own.decode()):
         return True
-    return bool(KNOWN.match(own)) or assigned(before) or any(w in NEAR_SECRETS for w in words_before(before))
+    words = before.split()[-AROUND:]
+    return bool(_NEAR.search(b" " + b" ".join(words) + b" "))
 
 
 def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
@@ -73,12 +79,18 @@ def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
     near = lambda: r.choice(sorted(NEAR_SECRETS)) + r.choice(["=", ": ", ' = "', "='", ":", ' "'])
     harmless = lambda: r.choice(sorted(NEAR_DIGESTS)) + r.choice([" ", ": ", "=", "-"])
     b64 = lambda k: base64.b64encode(r.randbytes(k)).decode()
+    letters = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=k))
+    marked = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!@#$%^&*?", k=k - 1)) + r.choice("aZ3x")
+    phrase = lambda: r.choice(["", word()]) + word().title() + r.choice(["", "!", "@", "#", "_"]) + str(r.randint(1, 99999)) + r.choice(["x", "!1", "", "$s"])
     secrets = (
         lambda: ("AKIA" + upper(16), prose() + r.choice([" ", "=", ": "])),
         lambda: (hexes(r.choice([16, 18, 20, 24, 32, 40, 64])), prose() + " " + near()),
         lambda: (mixed(r.randint(18, 48)), prose() + " " + near()),
         lambda: (b64(r.randint(18, 48)), prose() + " " + near()),
         lambda: (r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "npm_"]) + mixed(r.randint(24, 36)), prose() + r.choice([" ", "=", ": "])),
+        lambda: (letters(r.randint(12, 40)), prose() + " " + near()),
+        lambda: (marked(r.randint(8, 20)), prose() + " " + near()),
+        lambda: (phrase(), prose() + " " + r.choice(["password", "passwd", "pwd", "secret", "credentials"]) + r.choice(["=", ": ", ' = "', "='", ":", " is "])),
         lambda: ("eyJ" + mixed(r.randint(16, 24)) + "." + "eyJ" + mixed(r.randint(20, 50)) + "." + mixed(30), prose() + r.choice([" Bearer ", " token: ", " "])),
     )
     harmless_kinds = (
@@ -92,6 +104,16 @@ def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
         lambda: (f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}", prose() + " "),
         lambda: (word() + "-" + word() + "-" + ".".join(str(r.randint(0, 30)) for _ in range(3)) + "-" + word(), prose() + " "),
         lambda: ("".join(word() for _ in range(r.randint(3, 6))) + r.choice(["", str(r.randint(0, 9))]), prose() + " "),
+        lambda: (f"{r.randint(1, 12)}{r.choice('/-.')}{r.randint(1, 28)}{r.choice('/-.')}{r.randint(1950, 2030)}", prose() + " "),
+        lambda: (f"{r.randint(1950, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", prose() + r.choice([" ", " on ", " date: ", " version="])),
+        lambda: (f"{r.randint(200, 999)}{r.choice('-.')}{r.randint(200, 999)}{r.choice('-.')}{r.randint(1000, 9999)}", prose() + r.choice([" ", " call ", " phone: ", " tel. +"])),
+        lambda: (word() + r.choice([".", "_", ""]) + word() + r.choice(["", str(r.randint(1, 99))]) + "@" + word() + r.choice([".com", ".org", ".example", ".net"]), prose() + r.choice([" ", " at ", " mail: ", " contact "])),
+        lambda: (r.choice(["www.", "//www.", "//", ""]) + word() + word() + r.choice([".com", ".org", ".net", ".html"]) + r.choice(["", "/" + word() + "/" + word(), "/?" + word() + "=" + word()]), prose() + r.choice([" ", " https:", " http:", " (see "])),
+        lambda: ("".join(word() for _ in range(2)) + r.choice(["", "s", "ing"]), prose() + " " + r.choice([near(), "password ", "secret ", "key "])),
+        lambda: (word() + "-" + str(r.randint(1, 2030)) + r.choice(["", "-" + word()]), prose() + " "),
+        lambda: (str(r.randint(1, 9999)) + r.choice([".", ","]) + str(r.randint(100, 99999)) + r.choice(["", "%", "km", "kg"]), prose() + " "),
+        lambda: ("".join(r.choices("0123456789", k=r.randint(8, 13))), prose() + r.choice([" ", " " + harmless()])),
+        lambda: (word().title() + word().title() + r.choice(["", "s"]), prose() + r.choice([" ", " class ", " " + near()])),
     )
     out = []
     for i in range(n):
@@ -102,6 +124,10 @@ def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
     return out
 
 
+_DATE = re.compile(r"\d{1,4}[-./]\d{1,3}[-./]\d{1,4}(?:T[\d.:]+)?$")
+_WEB = re.compile(r"^//|www\.|[\w.]@[\w.]+\.[a-z]{2,}|\.(?:com|org|net|html?|example|edu|gov|io)\b")
+
+
 class Featurizer:
     """Numbers of a finding; character transitions come from the harmless findings of the training set."""
 
@@ -134,6 +160,7 @@ class Featurizer:
             float(any(w in NEAR_SECRETS for w in near)), float(any(w in NEAR_DIGESTS for w in near)), float(assigned(f.before)), float(f.before[-1:] in "\"'" and f.before != ""),
             float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", t))), float(bool(KNOWN.match(t))),
             float(is_hex and (low == t or t.upper() == t)), float(t.isdigit()),
+            float(sum(c in "!@#$%^&*?" for c in t)), float(bool(_DATE.match(t))), float(bool(_WEB.search(low))), float(f.after[:1] in "\"'" and f.after != ""),
         ]
 
 
@@ -207,27 +234,25 @@ class Scanner:
         features = Featurizer([f.candidate for f in rows if not f.label])
         return cls(features, Forest(np.array([features(f) for f in rows]), np.array([float(f.label) for f in rows])))
 
-    def scan(self, text: bytes, begin: list[int]) -> list[tuple[int, Finding]]:
-        """Candidates among the words that begin at the given bytes, each once."""
+    def scan(self, text: bytes) -> list[tuple[int, Finding]]:
+        """Candidates of a text, each once, with where they begin."""
         out, upto = [], -1
-        for b in begin:
-            stop = min((p for p in (text.find(c, b) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if p >= 0), default=len(text))
-            for m in RUN.finditer(text, b, stop):
-                own = m[0]
-                at = m.start()
-                if b"=" in own.rstrip(b"="):  # name=value
-                    name, _, value = own.partition(b"=")
-                    at, own = at + len(name) + 1, value
-                kept = own.strip(b".-~")
-                at, own = at + own.find(kept) if kept else at, kept
-                if len(own) < SHORTEST or at <= upto:
-                    continue
-                before = text[max(0, at - 60) : at].decode("utf-8", "replace")
-                if not is_candidate(own.decode(), before):
-                    continue
-                upto = at
-                after = text[at + len(own) : at + len(own) + 40].decode("utf-8", "replace")
-                out.append((at, Finding(own.decode(), before, after)))
+        for m in RUN.finditer(text):
+            at, own = m.start(), m[0]
+            if b"=" in own.rstrip(b"="):  # name=value
+                name, _, value = own.partition(b"=")
+                at, own = at + len(name) + 1, value
+            quoted = text[at + len(own) : at + len(own) + 1] in (b'"', b"'")
+            kept = own.lstrip(b".-~?*").rstrip(b".-~?" if quoted else b".-~?!*:")
+            at, own = at + own.find(kept) if kept else at, kept
+            if len(own) < SHORTEST or at <= upto:
+                continue
+            before = text[max(0, at - 60) : at]
+            if not is_candidate(own, before):
+                continue
+            upto = at
+            after = text[at + len(own) : at + len(own) + 40]
+            out.append((at, Finding(own.decode(), before.decode("utf-8", "replace"), after.decode("utf-8", "replace"))))
         return out
 
 
@@ -239,7 +264,7 @@ def _trained(findings: tuple[Finding, ...] | None) -> Scanner:
 def scan(docs: DataFrame, findings: list[Finding] | None = None) -> DataFrame:
     """doc_id, begin, length, candidate_crc32, probability, secret: a row for each candidate of each row of docs.
 
-    begin: in UTF-8 bytes of the text; secret: probability of SECRET and more. All words of SHORTEST bytes and more
+    begin: in UTF-8 bytes of the text; secret: probability of SECRET and more. All runs of SHORTEST bytes and more
     are looked into. Null and empty texts have no candidates. The
     labelled findings, TRAIN_ROWS at most, are sent to the workers, each of which trains the same forest once.
     """
@@ -255,13 +280,9 @@ def scan(docs: DataFrame, findings: list[Finding] | None = None) -> DataFrame:
             rows: list[tuple] = []
             for first, some in tv.slices(tv.strings(batch.column("text"))):
                 data, at = tv.raw(some)
-                begin, end, _ = tv.words(data, at)
-                full = end - begin >= SHORTEST
-                doc = np.searchsorted(at, begin[full], "right") - 1
-                for d in np.unique(doc).tolist():
-                    text = data[at[d] : at[d + 1]].tobytes()
-                    for b, f in scanner.scan(text, (begin[full][doc == d] - at[d]).tolist()):
-                        rows.append((ids[first + d].as_py(), b, f))
+                raw = data.tobytes()
+                for d in range(len(some)):
+                    rows += [(ids[first + d].as_py(), b, f) for b, f in scanner.scan(raw[at[d] : at[d + 1]])]
             p = scanner.forest.predict(np.array([scanner.features(f) for _, _, f in rows])) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2].candidate) for r in rows], pa.int32()), pa.array([zlib.crc32(r[2].candidate.encode()) for r in rows], pa.int64()), pa.array(p), pa.array(p >= SECRET)],
