@@ -3,7 +3,7 @@
 A segment is a byte string that can be read alone::
 
     header   magic "PFR1", n_docs u32, n_tokens u64, local_start u64, n_blocks u32
-    docs     doc_id i64 and n_tokens u32 of each document, in order
+    docs     doc_id i64, n_tokens u32 and whether doc_id is null u8 of each document, in order
     index    byte offset u32 of each block, and one more for the end of the last
     block    minimum u32, width u8, n_values u16, n_exceptions u16,
              values less the minimum, packed at that width (little-endian bits),
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, small_batches
+from .common import cut, lookup_join, shared_folder, small_batches
 
 BLOCK = 512
 PERCENTILES = (90, 95, 98, 100)
@@ -41,6 +42,10 @@ BLOCK_HEAD = struct.Struct("<IBHH")
 MARKS, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 MARKS[list(b".,;:!?|%$#&*")] = True
 PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+_DOCS = np.dtype("<i8,<u4,u1")
+#: The steps before the model in those tokenizer files whose words can be coded apart.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 SEGMENTS = "part int, seq int, payload binary"
 
 
@@ -117,32 +122,33 @@ def decode_blocks(payload: bytes, index: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, local_start: int) -> bytes:
+def write_segment(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray, local_start: int) -> bytes:
     blocks = encode_blocks(ids)
-    docs = np.zeros(len(doc_ids), "<i8,<u4")
-    docs["f0"], docs["f1"] = doc_ids, lengths
+    docs = np.zeros(len(doc_ids), _DOCS)
+    docs["f0"], docs["f1"], docs["f2"] = doc_ids.fill_null(0).to_numpy(), lengths, doc_ids.is_null().to_numpy(zero_copy_only=False)
     first = HEAD.size + docs.nbytes + 4 * (len(blocks) + 1)
     index = np.cumsum([first, *map(len, blocks)]).astype("<u4")
     return b"".join((HEAD.pack(b"PFR1", len(docs), len(ids), local_start, len(blocks)), docs.tobytes(), index.tobytes(), *blocks))
 
 
-def read_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def read_segment(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
     """Document ids, token counts, all ids and the position of the first one in its part."""
     magic, n_docs, n_tokens, local_start, n_blocks = HEAD.unpack_from(payload)
     if magic != b"PFR1":
         raise ValueError("not a token segment")
-    docs = np.frombuffer(payload, "<i8,<u4", n_docs, HEAD.size)
+    docs = np.frombuffer(payload, _DOCS, n_docs, HEAD.size)
     index = np.frombuffer(payload, "<u4", n_blocks + 1, HEAD.size + docs.nbytes).astype(np.int64)
     ids = decode_blocks(payload, index)
     if len(ids) != n_tokens:
         raise ValueError("a token segment is damaged")
-    return docs["f0"], docs["f1"].astype(np.int64), ids, local_start
+    return pa.array(docs["f0"].astype(np.int64), mask=docs["f2"] == 1), docs["f1"].astype(np.int64), ids, local_start
 
 
 class WordCoder:
     """Ids of words by a tokenizers file, each distinct piece of a word once.
 
-    Exact for tokenizers that lower-case, split at blanks and drop them. A word's trailing run of
+    Exact for tokenizers that lower-case, split at blanks and drop them, which is read from the file; with any other file
+    whole texts are encoded. A word's trailing run of
     sentence marks after a letter or digit is a pre-token of its own there, so the word is cut in
     two pieces there. Pieces are known by 64-bit hashes; `most` bounds those remembered, and beyond it
     the memory starts anew.
@@ -152,6 +158,10 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            head = json.load(f)
+        split = (head.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.by_words = head.get("normalizer") == WORD_NORMALIZER and split[0] == WORD_SPLIT and all(t["content"].startswith("<|") for t in head.get("added_tokens") or [])
         self.reset()
 
     def reset(self) -> None:
@@ -174,6 +184,9 @@ class WordCoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of the texts and all their ids, the end id after each."""
+        if not self.by_words:
+            lists = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([len(x) for x in lists], np.int64), np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
         cased, at = tv.raw(texts)
         data = tv.LOWER[cased]
         begin, end, of = tv.words(data, at)
@@ -222,26 +235,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
     """Encodes text of every row of docs and writes segments, in ascending doc_id order, to `path`.
 
     Each row is one document: repeated doc_ids stay apart (ordered by text), a null text is empty,
-    a null doc_id sorts first and is written as the smallest 64-bit number. Documents are dealt by
+    a null doc_id sorts first and stays null. Documents are dealt by
     doc_id ranges, so part k holds smaller ids than part k + 1; a task streams its part and
     holds one segment of about SEGMENT_TOKENS ids at a time.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(tokenizer)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy()
+            doc_ids = batch.column("doc_id")
             for first, some in tv.slices(tv.strings(batch.column("text")), 1 << 22):
                 doc_n, ids = words.encode(some, end_id)
                 ends = np.concatenate([[0], np.cumsum(doc_n)])
                 i = 0
                 while i < len(doc_n):
                     j = max(i + 1, int(np.searchsorted(ends, ends[i] + SEGMENT_TOKENS, "right")) - 1)
-                    blob = write_segment(doc_ids[first + i : first + j], doc_n[i:j], ids[ends[i] : ends[j]], start)
+                    blob = write_segment(doc_ids.slice(first + i, j - i), doc_n[i:j], ids[ends[i] : ends[j]], start)
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([blob], pa.binary())], ["part", "seq", "payload"])
                     start += int(ends[j] - ends[i])
                     seq, i = seq + 1, j
@@ -262,12 +275,12 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n)])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(doc_ids), pa.array(start + ends[:-1]), pa.array(n), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), doc_ids, pa.array(start + ends[:-1]), pa.array(n), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     docs = cut(segments.mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids_crc32 long"))
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return lookup_join(docs, cut(before), ["part"], F.col("start"), "inner").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
@@ -279,7 +292,6 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None
     spark = docs.sparkSession
     small_batches(spark)
     if path is None:
-        cut(spark.range(0))
-        path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer, end_id)
     return read_tokens(spark.read.schema(SEGMENTS).parquet(path))

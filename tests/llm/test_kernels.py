@@ -118,7 +118,7 @@ def test_fuzzy_lexicon_accepts_what_edit_distance_does():
 @settings(max_examples=40, deadline=None)
 def test_blocks_round_trip(ids, narrow):
     a = np.array(ids, np.uint32) >> np.uint32(min(narrow, 31))
-    blob = tf.write_segment(np.array([7]), np.array([len(a)]), a, 5)
+    blob = tf.write_segment(pa.array([7]), np.array([len(a)]), a, 5)
     docs, n, back, start = tf.read_segment(blob)
     assert docs.tolist() == [7] and n.tolist() == [len(a)] and start == 5 and np.array_equal(back, a)
 

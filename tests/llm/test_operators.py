@@ -241,6 +241,18 @@ def test_token_files(docs, empty):
         start += len(ids)
     assert got == sorted(want)
     assert token_files.token_ids(empty, path).count() == 0
+    none = docs.where("doc_id in (3, 5)").withColumn("doc_id", F.expr("CASE doc_id WHEN 3 THEN NULL ELSE -9223372036854775808 END"))
+    assert [(x["doc_id"], x["start"]) for x in token_files.token_ids(none, path).orderBy("start").collect()][0] == (None, 0)
+    whole = token_files.WordCoder(path)
+    assert whole.by_words
+    whole.by_words = False
+    import pyarrow as pa
+
+    from sparkfold.llm import textvec as tv
+
+    texts = tv.strings(pa.array([x or "" for _, x, *_ in rows()]))
+    for a, b in zip(whole.encode(texts, 1), token_files.WordCoder(path).encode(texts, 1), strict=True):
+        assert (a == b).all()
 
 
 def test_language(spark, empty):
