@@ -365,7 +365,7 @@ def near_links(docs: DataFrame, lines: DataFrame, tau: int = TAU) -> DataFrame:
     names = segment_names(docs, tau).withColumn("lo", F.min("h1").over(each)).withColumn("hi", F.max("h1").over(each))
     buckets = cut(names.where("lo <> hi").select("name", "h1").distinct())
     needed = buckets.select("h1").distinct()
-    places = lines.join(needed, "h1", "left_semi").groupBy("h1").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("k"))
+    places = lines.groupBy("h1").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("k")).join(needed, "h1", "left_semi")
     texts = wanted_lines(docs, cut(places.groupBy("k").agg(F.collect_list("h1").alias("h1s"))))
     counts = buckets.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = lookup_join(buckets, counts.where("blocks > 1"), ["name"], F.col("h1")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
