@@ -15,7 +15,7 @@ from .operators import design as designer
 from .operators import encoders
 from .operators.alignment import AlignOptions, align_all, align_pairs
 from .operators.metrics import with_panel
-from .operators.pairs import TILE, referenced, resolve_pairs
+from .operators.pairs import referenced, resolve_pairs
 from .sources import structures as st
 from .sources import tables as tb
 
@@ -74,7 +74,7 @@ class Engine:
             told += resolve_gaps(package(package_name), m, gap_open, gap_extension)[1]
         return o, told
 
-    def all_vs_all(self, proteins: DataFrame, package_name: str = "structure-d64", mode: str = "hard", gap_open: float | None = None, gap_extension: float | None = None, temperature: float | None = None, include_self: bool = False, metrics: bool = True, tile: int = TILE) -> DataFrame:
+    def all_vs_all(self, proteins: DataFrame, package_name: str = "structure-d64", mode: str = "hard", gap_open: float | None = None, gap_extension: float | None = None, temperature: float | None = None, include_self: bool = False, metrics: bool = True, tile: int | None = None) -> DataFrame:
         o, told = self._options(package_name, mode, gap_open, gap_extension, temperature)
         return self._finish(align_all(proteins, o, include_self, tile), proteins, o, told, metrics)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.align import align
 from ..model import ALIGNMENT_SCHEMA, Gaps, InvalidArgument, Package, package, resolve_gaps
-from .pairs import TILE, linear_index, tile_members
+from .pairs import linear_index, pair_count, plan_sizes, tile_members, tile_size
 
 
 @dataclass(frozen=True)
@@ -75,13 +75,16 @@ def _run(pairs: list[tuple[np.ndarray, np.ndarray]], o: AlignOptions) -> list:
     return align(pairs, o.mode, (o.hard.open, o.hard.extension), (o.soft.open, o.soft.extension), o.temperature, o.paths)
 
 
-def align_all(proteins: DataFrame, options: AlignOptions, include_self: bool = False, tile: int = TILE) -> DataFrame:
+def align_all(proteins: DataFrame, options: AlignOptions, include_self: bool = False, tile: int | None = None) -> DataFrame:
     """All pairs i < j (or i <= j) of proteins (idx from 0, length, embedding).
 
     A group is a pair of tiles, so a protein is shipped once for each tile of partners rather than for each
-    partner, and a group's pairs are swept together. Sort by pair_index at the sink if order matters.
+    partner, and a group's pairs are swept together. Tiles follow from the number and lengths of the proteins and
+    the cores. Sort by pair_index at the sink if order matters.
     """
-    n = proteins.count()
+    sizes, cores = plan_sizes(proteins), proteins.sparkSession.sparkContext.defaultParallelism
+    n, tile = sizes["n"], tile or tile_size(sizes, cores)
+    groups = pair_count(-(-n // tile), True)
     members = tile_members(proteins.select(F.col("idx").cast("bigint").alias("idx"), "length", "embedding"), tile)
     own = 1 if include_self else 0
 
@@ -95,7 +98,9 @@ def align_all(proteins: DataFrame, options: AlignOptions, include_self: bool = F
         return pa.Table.from_batches([_rows(index, found, options)])
 
     # one tile alone has no partner tile: its group still holds all of its own pairs
-    return members.groupBy("ti", "tj").applyInArrow(run, _schema(options))
+    # a number of partitions that adaptive execution leaves alone: groups are small in bytes and long in work
+    parts = max(1, min(groups, max(2 * cores, int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    return members.repartition(parts, "ti", "tj").groupBy("ti", "tj").applyInArrow(run, _schema(options))
 
 
 def align_pairs(pairs: DataFrame, proteins: DataFrame, options: AlignOptions, batch_rows: int = 128) -> DataFrame:

@@ -9,6 +9,24 @@ from ..model import InvalidArgument, NotFound
 
 #: Proteins of a tile; a tile pair is one unit of work, to which each of its proteins is sent once.
 TILE = 64
+#: Alignment cells of a pair of tiles at most.
+TILE_CELLS = 1 << 28
+
+
+def plan_sizes(proteins: DataFrame) -> dict[str, int]:
+    """Planning reductions over proteins (length): n, the longest, all residues, and the most steps that a path of two can have."""
+    r = proteins.agg(F.count("*").alias("n"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"), F.coalesce(F.sum("length"), F.lit(0)).alias("residues")).first()
+    return {"n": int(r["n"]), "longest": int(r["longest"]), "residues": int(r["residues"]), "most_steps": 2 * int(r["longest"])}
+
+
+def tile_size(sizes: dict[str, int], cores: int, most_cells: int = TILE_CELLS) -> int:
+    """Proteins of a tile: so few that there are tile pairs for all cores and that a pair of tiles has most_cells at most, TILE at most."""
+    tiles = 1
+    while tiles * (tiles + 1) // 2 < 2 * cores:
+        tiles += 1
+    spread = -(-sizes["n"] // tiles)
+    fits = int((most_cells / max(sizes["longest"], 1) ** 2) ** 0.5)
+    return max(1, min(TILE, spread, fits))
 
 
 def pair_count(n: int, include_self: bool = False) -> int:
@@ -111,12 +129,3 @@ def ambiguous_ids(pairs: DataFrame, proteins: DataFrame) -> DataFrame:
 def pair_cost(lq: Column, lt: Column) -> Column:
     """Cells of the alignment, held to the largest 64-bit number."""
     return F.least(lq.cast("decimal(38,0)") * lt.cast("decimal(19,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("bigint")
-
-
-def dealt_by_cost(pairs: DataFrame, parts: int, cost: str = "cost") -> DataFrame:
-    """pairs with `part`: random buckets keep the expected cost even; costly pairs are first within one.
-
-    A pair's bucket follows from its place alone, so no global sort is needed.
-    """
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("pair_index"), F.lit(parts)).cast("int"))
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", F.col(cost).desc(), "pair_index")

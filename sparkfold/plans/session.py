@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "sparkfold", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,3 +15,15 @@ def session(app: str = "sparkfold", master: str | None = None, **conf: str) -> S
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.ui.showConsoleProgress": "false",
     }
     return b.config(map=own | conf).getOrCreate()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Computes df and reads it back from the shared checkpoint folder: for a dear table that a plan uses more than once.
+
+    The folder is the session's spark.checkpoint.dir or, where it names none, one of the warehouse.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()

@@ -17,6 +17,7 @@ from .model import AMINO, PACKAGES
 from .operators import alignment as al
 from .operators import metrics as me
 from .operators import pairs as pr
+from .plans.session import once
 from .sources import structures as st
 from .sources import tables as tb
 
@@ -215,11 +216,11 @@ def superposition_moments(spark, sf_dir):
 
 
 def rmsd(spark, sf_dir):
-    return me.superpositions(al.steps(_hard(spark, sf_dir)), residues(spark, sf_dir)).select("pair_index", r6(F.col("rmsd"), "rmsd", 5))
+    return me.superpositions(al.steps(once(_hard(spark, sf_dir))), residues(spark, sf_dir)).select("pair_index", r6(F.col("rmsd"), "rmsd", 5))
 
 
 def tm_score(spark, sf_dir):
-    t = me.tm_scores(al.steps(_hard(spark, sf_dir)), residues(spark, sf_dir), _lengths(spark, sf_dir))
+    t = me.tm_scores(al.steps(once(_hard(spark, sf_dir))), residues(spark, sf_dir), _lengths(spark, sf_dir))
     return t.select("pair_index", r6(F.col("tm_score_query"), "tm_score_query", 5), r6(F.col("tm_score_target"), "tm_score_target", 5))
 
 
@@ -228,7 +229,7 @@ def contact_pairs(spark, sf_dir):
 
 
 def lddt(spark, sf_dir):
-    a = _hard(spark, sf_dir)
+    a = once(_hard(spark, sf_dir))
     out = me.lddt(al.steps(a), residues(spark, sf_dir), a.select("pair_index", "query_index", "target_index"))
     return out.select("pair_index", *[r6(F.col(c), c) for c in out.columns if c != "pair_index"])
 

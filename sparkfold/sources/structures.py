@@ -31,10 +31,11 @@ def file_format(path: Column, content: Column) -> Column:
 def structure_files(spark: SparkSession, directory: str, ids: DataFrame | None = None) -> DataFrame:
     """input_id (the stem), source_index (place among the sorted paths), path, content of the structure files of a directory.
 
-    With ids (column input_id) only those files' contents are read; their places stay those of the whole directory. An
-    empty directory is an error.
+    With ids (column input_id) only those files are opened; their places stay those of the whole directory, whose
+    listing the driver holds in any case. Suffixes are known in any case of letters. An empty directory is an error.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join([*SUFFIXES, *map(str.upper, SUFFIXES)]) + "}").load(directory)
+    anyhow = ",".join("".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in SUFFIXES)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + anyhow + "}").load(directory)
     paths = listed.select("path")
     if not paths.limit(1).count():
         raise InvalidArgument(f"{directory} holds no structure files")
@@ -42,25 +43,36 @@ def structure_files(spark: SparkSession, directory: str, ids: DataFrame | None =
     named = paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("source_index"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("input_id"))
     if ids is not None:
         named = named.join(ids.select("input_id").distinct(), "input_id", "left_semi")
+        wanted = named.collect()
+        named = spark.createDataFrame(wanted, named.schema)
+        if not wanted:
+            return named.withColumn("content", F.lit(None).cast("string"))
+        listed = spark.read.format("binaryFile").load([r["path"] for r in wanted])
     return named.join(listed.select("path", F.decode("content", "UTF-8").alias("content")), "path")
 
 
 def parse_pdb(files: DataFrame) -> DataFrame:
     """Atoms of PDB texts (input_id, source_index, content), by fixed columns; malformed numbers are errors.
 
-    The model of a record is that of the last MODEL line before it, 1 if there is none.
+    The model of a record is that of the last MODEL line with a number before it, 1 if there is none. A text is cut at
+    its MODEL lines within its own row, so lines aren't shuffled.
     """
-    lines = files.select("input_id", "source_index", F.posexplode(F.split("content", r"\r?\n")).alias("record", "line"))
-    keep = F.substring("line", 1, 6).isin("ATOM  ", "HETATM", "MODEL ")
-    model = F.when(F.col("line").startswith("MODEL "), F.trim(F.substring("line", 7, 20)).try_cast("int"))
-    seen = lines.where(keep).withColumn("model", F.coalesce(F.last(model, ignorenulls=True).over(Window.partitionBy("input_id", "source_index").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1)))
+    number_of = lambda part: F.trim(F.substring(F.split(part, r"\r?\n")[0], 7, 20)).try_cast("int")
+    parts = F.transform(F.split("content", "(?m)^(?=MODEL )"), lambda part: F.struct(part.alias("text"), F.when(part.startswith("MODEL "), number_of(part)).alias("model"), (F.length(part) - F.length(F.translate(part, "\n", ""))).alias("lines")))
+    cut = files.select("input_id", "source_index", parts.alias("parts")).select("input_id", "source_index", "parts", F.posexplode("parts").alias("k", "part"))
+    before = F.slice("parts", F.lit(1), F.col("k"))
+    told = F.filter(F.slice("parts", F.lit(1), F.col("k") + 1), lambda part: part["model"].isNotNull())
+    cut = cut.select("input_id", "source_index", "part.text", F.coalesce(F.get(told, F.size(told) - 1)["model"], F.lit(1)).alias("model"), F.aggregate(before, F.lit(0), lambda n, part: n + part["lines"]).alias("first"))
+    lines = cut.select("input_id", "source_index", "model", "first", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).withColumn("record", F.col("first") + F.col("at"))
+    keep = F.substring("line", 1, 6).isin("ATOM  ", "HETATM")
+    seen = lines.where(keep)
     text = lambda a, n: F.trim(F.substring("line", a + 1, n))
 
     def number(a: int, n: int, kind: str, what: str) -> Column:
         v = text(a, n).try_cast(kind)
         return F.when(v.isNull(), F.raise_error(F.concat(F.lit(f"bad {what} in "), "input_id", F.lit(", line "), (F.col("record") + 1).cast("string")))).otherwise(v)
 
-    a = seen.where(~F.col("line").startswith("MODEL "))
+    a = seen
     short = F.when(F.length("line") < 54, F.raise_error(F.concat(F.lit("short atom record in "), "input_id")))
     return a.select(
         "input_id", "source_index", F.col("record").cast("bigint").alias("record"), "model", F.coalesce(short, text(21, 1)).cast("string").alias("chain"),

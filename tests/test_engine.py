@@ -298,3 +298,34 @@ def test_pair_queries_over_all_proteins(spark, tmp_path):
     assert scores(q.pair_list_alignment_all(spark, str(tmp_path))) == scores(q.hard_alignment_self(spark, str(tmp_path)))
     aligned = {r["pair_index"]: r["aligned_pairs"] for r in q.score_alignment_all(spark, str(tmp_path)).collect()}
     assert aligned == {k: min(len(own[a]), len(own[b])) for k, (a, b) in enumerate(both)}
+
+
+def test_tiles_follow_sizes_and_cores(spark):
+    from sparkfold.operators import pairs as pr
+
+    df = spark.createDataFrame([(k, 100 + k) for k in range(10)], "idx long, length int")
+    sizes = pr.plan_sizes(df)
+    assert sizes == {"n": 10, "longest": 109, "residues": 1045, "most_steps": 218}
+    assert pr.tile_size(sizes, 8) == 2 and pr.tile_size({**sizes, "n": 100_000}, 8) == pr.TILE and pr.tile_size({**sizes, "n": 100_000, "longest": 8192}, 8) == 2
+    assert pr.plan_sizes(df.where("idx < 0")) == {"n": 0, "longest": 0, "residues": 0, "most_steps": 0} and pr.tile_size(pr.plan_sizes(df.where("idx < 0")), 8) == 1
+
+
+def test_unreferenced_files_are_never_opened_and_suffixes_take_any_case(spark, tmp_path):
+    from sparkfold.sources import structures as st
+
+    atom = "ATOM  {:5d}  CA  ALA A{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C\n"
+    text = "MODEL        1\n" + atom.format(1, 1, 0, 0, 0) + "ENDMDL\nMODEL        x\n" + atom.format(2, 2, 1, 0, 0) + "ENDMDL\nMODEL        7\n" + atom.format(3, 3, 2, 0, 0) + "ENDMDL\n"
+    (tmp_path / "good.Pdb").write_text(text)
+    (tmp_path / "other.pDB").write_text(atom.format(1, 1, 0, 0, 0))
+    broken = tmp_path / "broken.pdb"
+    broken.write_bytes(b"\xff\xfe not to be opened")
+    ids = spark.createDataFrame([("good",)], "input_id string")
+    files = st.structure_files(spark, str(tmp_path), ids)
+    broken.unlink()  # reading it would fail from here on
+    got = files.select("input_id", "source_index").collect()
+    assert [(r["input_id"], r["source_index"]) for r in got] == [("good", 1)]
+    atoms = st.parse_pdb(files).orderBy("record").collect()
+    assert [(a["record"], a["model"], a["resnum"]) for a in atoms] == [(1, 1, 1), (4, 1, 2), (7, 7, 3)]
+    assert "Window" not in st.parse_pdb(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert st.structure_files(spark, str(tmp_path)).count() == 2
+    assert st.structure_files(spark, str(tmp_path), ids.where("false")).count() == 0
