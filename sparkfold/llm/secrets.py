@@ -26,6 +26,8 @@ from .common import small_batches
 #: a change of case inside), or any such run with a known prefix, an assignment or a word of NEAR_SECRETS before it.
 SHORTEST = 8
 RUN = re.compile(rb"[A-Za-z0-9_\-+/=.~!@#$%%^&*?]{%d,}" % SHORTEST)
+#: Marks around a run that aren't part of it, unless a quote follows them.
+MARKS = b".-~!?@#$%^&*:"
 SHAPE = re.compile(rb"[0-9+/=~@#$%^&*]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[!?_.][A-Za-z]")
 AROUND = 3
 TREES, DEPTH, CUTS, TRAIN_ROWS, SEED = 40, 9, 24, 6000, 20240229
@@ -113,6 +115,9 @@ def made_up_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[Finding]:
         lambda: (word() + "-" + str(r.randint(1, 2030)) + r.choice(["", "-" + word()]), prose() + " "),
         lambda: (str(r.randint(1, 9999)) + r.choice([".", ","]) + str(r.randint(100, 99999)) + r.choice(["", "%", "km", "kg"]), prose() + " "),
         lambda: ("".join(r.choices("0123456789", k=r.randint(8, 13))), prose() + r.choice([" ", " " + harmless()])),
+        lambda: (word().title() + r.choice([".", "%%%", "&&&", "$$$", "*"]) + word().title(), prose() + r.choice([" ", "### "])),
+        lambda: (letters(2).upper() + "".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(6, 12))), prose() + " "),
+        lambda: ("".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(8, 14))), prose() + " password=" + hexes(18) + " "),
         lambda: (word().title() + word().title() + r.choice(["", "s"]), prose() + r.choice([" ", " class ", " " + near()])),
     )
     out = []
@@ -243,7 +248,7 @@ class Scanner:
                 name, _, value = own.partition(b"=")
                 at, own = at + len(name) + 1, value
             quoted = text[at + len(own) : at + len(own) + 1] in (b'"', b"'")
-            kept = own.lstrip(b".-~?*").rstrip(b".-~?" if quoted else b".-~?!*:")
+            kept = own.strip(b".-~") if quoted else own.strip(MARKS)
             at, own = at + own.find(kept) if kept else at, kept
             if len(own) < SHORTEST or at <= upto:
                 continue
