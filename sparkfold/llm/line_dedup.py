@@ -31,6 +31,7 @@ PAIRS = 1 << 16
 #: The name that the shortest lines share.
 SHORT = 0x53484F5254
 
+
 def segments(n: np.ndarray, tau: int = TAU) -> list[tuple[np.ndarray, np.ndarray]]:
     """Begin and length of each of tau + 1 segments of lines of length n; the last ones are one longer where need be."""
     size, more = n // (tau + 1), n % (tau + 1)
@@ -170,56 +171,6 @@ _TABLED = 1 << 16
 _VALUES = tv.mix(np.arange(1, _TABLED + 1, dtype=np.uint64))
 
 
-def _point_values(codes: np.ndarray) -> np.ndarray:
-    if not len(codes) or int(codes.max()) < _TABLED:
-        return _VALUES[codes]
-    return np.where(codes < _TABLED, _VALUES[np.minimum(codes, _TABLED - 1)], tv.mix(codes.astype(np.uint64) + np.uint64(1)))
-
-
-class Spans:
-    """Hashes of parts of a code-point array."""
-
-    def __init__(self, codes: np.ndarray):
-        self.down = tv._power("down", tv._INVERSE, len(codes) + 1)
-        self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_point_values(codes) * tv._power("up", tv._BASE, len(codes)), out=self.total[1:])
-
-    def __call__(self, begin: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        own = (self.total[end] - self.total[begin]) * self.down[begin]
-        return tv.mix(own ^ tv.mix((end - begin).astype(np.uint64) + (np.asarray(salt).astype(np.uint64) << np.uint64(32))))
-
-
-def _lines(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run of texts: first text, code points, and number of text, of line, begin and end of each trimmed line with a word."""
-    blank = np.zeros(0x110000, bool)
-    blank[np.flatnonzero(tv.SPACE)] = True
-    for first, some in tv.slices(text):
-        points = [au.code_points(t) for t in some.to_pylist()]
-        size = np.array([len(p) for p in points])
-        at = np.concatenate([[0], np.cumsum(size)])
-        codes = np.concatenate(points) if len(points) else np.zeros(0, np.uint32)
-        breaks = np.flatnonzero(codes == 10)
-        begin = np.sort(np.concatenate([at[:-1], breaks + 1]))
-        begin = begin if len(begin) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(points)), np.bincount(np.searchsorted(at, breaks, "right") - 1, minlength=len(points)) + 1)
-        end = np.minimum(np.append(begin[1:], at[-1] + 1) - 1, at[doc + 1]) if len(begin) else begin
-        same = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
-        end = np.where(same, end, at[doc + 1])
-        number = np.arange(len(begin)) - np.searchsorted(doc, doc)
-        ink = np.append(~blank[codes], False)
-        inked = np.concatenate([[0], np.cumsum(ink[:-1])])
-        places = np.flatnonzero(ink)
-        full = np.flatnonzero(inked[end] > inked[begin])
-        b = places[inked[begin[full]]]
-        e = places[inked[end[full]] - 1] + 1
-        yield first, codes, doc[full], number[full], b, e
-
-
-#: Values of the code points below this come from a table.
-_TABLED = 1 << 16
-_VALUES = tv.mix(np.arange(1, _TABLED + 1, dtype=np.uint64))
-
-
 def _point_values(codes: np.ndarray) -> np.ndarray:
     if not len(codes) or int(codes.max()) < _TABLED:
         return _VALUES[codes]
