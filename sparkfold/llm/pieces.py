@@ -29,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Longer units merge by a heap: a step of a batch copies all its symbols.
 LONG_UNIT = 256
+#: Code points of units that advance together; a step holds about ten arrays of 8 bytes for each.
+TOGETHER = 250_000
 
 
 @dataclass(frozen=True)
@@ -243,7 +245,7 @@ class Segmenter:
                 for i in own:
                     found[i] = self.merge_long(units[i])
                 continue
-            step = max(1, 2_000_000 // size)
+            step = max(1, TOGETHER // size)
             for a in range(0, len(own), step):
                 some = own[a : a + step]
                 points = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le"), np.uint32).reshape(-1, size)
@@ -301,6 +303,10 @@ class Segmenter:
             out.append(text[1:] if self.prefix and text[:1] == " " else text)
         return out
 
+    def same(self, n: np.ndarray, ids: np.ndarray, texts: pa.Array) -> list[bool]:
+        """Whether each run of n ids gives its text back."""
+        return [a == b for a, b in zip(self.decode(n, ids), texts.to_pylist(), strict=True)]
+
 
 @functools.lru_cache(maxsize=2)
 def segmenter(path: str) -> Segmenter:
@@ -308,10 +314,15 @@ def segmenter(path: str) -> Segmenter:
     return Segmenter(PieceModel.load(path))
 
 
-def encode(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
-    """docs with `ids`, the pieces of the text, an array of ints (a null or empty text has none); rows stay as they are."""
+def encode(docs: DataFrame, model_path: str, column: str = "text", check: bool = False) -> DataFrame:
+    """docs with `ids`, the pieces of the text, an array of ints (a null or empty text has none); rows stay as they are.
+
+    With `check`, also `same`, whether the ids give the text back (a null one counts as empty), and `n_pieces`; the same worker
+    tells, so that ids and texts don't go through a second one. Columns of docs with the names of new ones are replaced.
+    """
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != "ids"]
+    added = {"ids": "array<int>"} | ({"same": "boolean", "n_pieces": "int"} if check else {})
+    others = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = segmenter(model_path)
@@ -319,11 +330,14 @@ def encode(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
             for first, some in tv.slices(tv.strings(batch.column(column))):
                 n, ids = search.encode(some)
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                new = [pa.ListArray.from_arrays(at, pa.array(ids))]
+                if check:
+                    new += [pa.array(search.same(n, ids, some)), pa.array(n.astype(np.int32))]
                 part = batch.slice(first, len(some))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.ListArray.from_arrays(at, pa.array(ids))], [*others, "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *new], [*others, *added])
 
     kinds = dict(docs.dtypes)
-    return docs.select(others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "ids array<int>"]))
+    return docs.select(others).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), *(f"{c} {kind}" for c, kind in added.items())]))
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
@@ -358,7 +372,7 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(n)]).tolist()
                 raw = memoryview(ids.astype("<i4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                same = [a == b for a, b in zip(search.decode(n, ids), some.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(some)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "same"])
+                same = pa.array(search.same(n, ids, some))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(some)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), same], ["doc_id", "n_pieces", "ids_crc32", "same"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean")

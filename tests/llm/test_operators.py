@@ -226,6 +226,9 @@ def test_pieces_round_trip(docs, empty):
     coded = pieces.decode(pieces.encode(docs, model), model)
     assert [x["decoded"] for x in coded.orderBy("doc_id", "text").collect()] == [x["text"] or "" for x in docs.orderBy("doc_id", "text").collect()]
     assert pieces.round_trips(empty, model).count() == 0 and pieces.encode(empty, model).count() == 0
+    checked = pieces.encode(docs.withColumn("same", F.lit("x")), model, check=True)
+    both = checked.select("doc_id", "ids", "same", "n_pieces").exceptAll(coded.select("doc_id", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"), F.size("ids").alias("n_pieces")))
+    assert both.count() == 0 and checked.count() == coded.count() and pieces.encode(empty, model, check=True).count() == 0
 
 
 def test_token_files(docs, empty):
