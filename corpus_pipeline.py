@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkfold.llm import line_dedup, mixing, ngram_join, pieces, quality
 from sparkfold.llm.common import cut, table
@@ -32,9 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their pieces, and whether the pieces give the text back."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    return coded.withColumn("same", F.col("decoded") == F.coalesce("text", F.lit(""))).withColumn("n_pieces", F.size("ids")).drop("decoded")
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), check=True)
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", repeated_lines), ("ngram_join", near_duplicates), ("mixing", source_mix), ("pieces", piece_ids)]
