@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pytest
 
+from sparkfold.functions import strips
+from sparkfold.functions.align import align, consensus, hard_batch, soft_batch
 from sparkfold.operators.alignment import AlignOptions, align_all, steps
 from sparkfold.sources import tables as tb
 
@@ -17,3 +22,31 @@ def test_tiles_of_one_protein_have_no_pair_of_their_own(spark):
         alone, together = ({r["pair_index"]: r for r in align_all(proteins, o, tile=t).collect()} for t in (1, 64))
         assert alone == together and len(alone) == 6
     assert steps(align_all(proteins.where("idx = 0"), AlignOptions.of("structure-d64"), tile=1)).count() == 0
+
+
+@pytest.mark.parametrize("gaps", [(-1.4, -0.15), (-1.01982, 0.225736), (-2.0, -1.0)])
+def test_strips_give_what_whole_matrices_give(gaps):
+    for k in range(60):
+        a, b = (RNG.normal(0, 0.7, (RNG.integers(1, 40), 3)).round(k % 2) for _ in range(2))  # whole numbers: many ties
+        rows, t = int(RNG.integers(1, 12)), (1.0, 0.3, 2.0)[k % 3]
+        best, path = hard_batch([a @ b.T], *gaps)[0]
+        got, found = strips.hard_pair(a, b, *gaps, rows=rows)
+        assert got == pytest.approx(best) == pytest.approx(strips.hard_pair(a, b, *gaps, paths=False, rows=rows)[0])
+        assert (found.query.tolist(), found.target.tolist()) == (path.query.tolist(), path.target.tolist())
+        assert found.score == pytest.approx(path.score)
+        log_z, shares = soft_batch([a @ b.T], -3.2, -0.11, t)[0]
+        got, found = strips.soft_pair(a, b, -3.2, -0.11, t, threshold=0.1, rows=rows)
+        likely = consensus(a @ b.T, shares, 0.1)
+        assert got == pytest.approx(log_z) == pytest.approx(strips.soft_pair(a, b, -3.2, -0.11, t, paths=False, rows=rows)[0])
+        assert (found.query.tolist(), found.target.tolist()) == (likely.query.tolist(), likely.target.tolist())
+
+
+def test_a_large_pair_takes_the_memory_of_strips():
+    """Whole matrices of this pair take 72 MB for the scores alone."""
+    a, b = RNG.normal(0, 0.12, (2, 3000, 16))
+    for mode in ("hard", "soft", "both"):
+        tracemalloc.start()
+        align([(a, b)], mode, (-1.4, -0.15), (-3.2, -0.11), paths=mode == "hard")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6
