@@ -114,33 +114,45 @@ def contacts(residues: DataFrame, radius: float = geo.LDDT_RADIUS, cell: float |
     return left.join(right, ["idx", "cx", "cy", "cz"]).where("i < j").withColumn("d", d).where(F.col("d") <= radius).select("idx", "i", "j", "d")
 
 
+_SIX = ("lddt", "lddt_byA", "lddt_byB", "lddt_aln", "coverage_byA", "coverage_byB")
+
+
+@pandas_udf("struct<" + ",".join(f"`{m}`:double" for m in _SIX) + ">")
+def _six(p: pd.DataFrame) -> pd.DataFrame:
+    """The six lDDT fields of each pair: columns q, t, at_q, ca_q, at_t, ca_t (places and coordinates of observed atoms)."""
+    rows = []
+    for r in p.itertuples(index=False):
+        side = []
+        q, t = (np.zeros(0, np.int64) if v is None else np.asarray(v, np.int64) for v in (r.q, r.t))
+        for at, ca, own in ((r.at_q, r.ca_q, q), (r.at_t, r.ca_t, t)):
+            at = np.zeros(0, np.int64) if at is None else np.asarray(at, np.int64)
+            n = int(max(at.max(initial=-1), own.max(initial=-1))) + 1
+            xyz, ok = np.zeros((n, 3)), np.zeros(n, bool)
+            if len(at):
+                xyz[at], ok[at] = np.asarray(ca, np.float64).reshape(-1, 3), True
+            side += [xyz, ok]
+        rows.append(geo.lddt(*side, q, t))
+    return pd.DataFrame(rows, columns=list(_SIX)).astype({m: object for m in _SIX})
+
+
 def lddt(steps: DataFrame, residues: DataFrame, alignments: DataFrame) -> DataFrame:
-    """pair_index and the six lDDT fields, from one table of contacts joined to paths in both directions."""
-    near = contacts(residues)
-    last = steps.where(MATCH)
-    parts = []
-    for mine, other, a, b in (("query_index", "target_index", "q", "t"), ("target_index", "query_index", "t", "q")):
-        to = last.groupBy("pair_index", F.col(mine).alias("idx"), F.col(other).alias("other"), F.col(a).alias("r")).agg(F.max_by(b, "step").alias("to"))
-        pairs = alignments.select("pair_index", F.col(mine).alias("idx"))
-        c = pairs.join(near, "idx")
-        for end in "ij":
-            c = c.join(to.select("pair_index", F.col("r").alias(end), F.col("to").alias(f"to_{end}")), ["pair_index", end], "left")
-        spot = residues.where("observed").select(F.col("idx").alias("other"), "residue_index", "x", "y", "z")
-        c = c.join(alignments.select("pair_index", F.col(other).alias("other")), "pair_index")
-        for end in "ij":
-            c = c.join(spot.select("other", F.col("residue_index").alias(f"to_{end}"), *[F.col(v).alias(f"{v}_{end}") for v in "xyz"]), ["other", f"to_{end}"], "left")
-        both = F.col("x_i").isNotNull() & F.col("x_j").isNotNull()
-        d = F.sqrt(sum((F.col(f"{v}_i") - F.col(f"{v}_j")) * (F.col(f"{v}_i") - F.col(f"{v}_j")) for v in "xyz"))
-        kept = sum(F.when(both & (F.abs(F.col("d") - d) <= cut + geo.SLACK), F.lit(1)).otherwise(0) for cut in geo.LDDT_CUTS)
-        parts.append(c.groupBy("pair_index").agg(F.count("*").alias(f"n_{a}"), F.sum(both.cast("int")).alias(f"m_{a}"), F.sum(kept).alias(f"k_{a}")))
-    j = alignments.select("pair_index").join(parts[0], "pair_index", "left").join(parts[1], "pair_index", "left")
-    c = {k: F.coalesce(F.col(k), F.lit(0)) for k in ("n_q", "m_q", "k_q", "n_t", "m_t", "k_t")}
-    by_a, by_b = F.try_divide(c["k_q"] / 4, c["n_q"]), F.try_divide(c["k_t"] / 4, c["n_t"])
-    return j.select(
-        "pair_index", ((by_a + by_b) / 2).alias("lddt"), by_a.alias("lddt_byA"), by_b.alias("lddt_byB"),
-        F.try_divide((c["k_q"] + c["k_t"]) / 4, c["m_q"] + c["m_t"]).alias("lddt_aln"),
-        F.try_divide(c["m_q"], c["n_q"]).alias("coverage_byA"), F.try_divide(c["m_t"], c["n_t"]).alias("coverage_byB"),
-    )
+    """pair_index and the six lDDT fields.
+
+    A row a pair holds its path and the observed atoms of both proteins, whose contacts are counted block by block: a
+    protein's contacts grow with the square of its length where its atoms are near each other, and none is written out.
+    """
+    path = steps.where(MATCH).groupBy("pair_index").agg(F.sort_array(F.collect_list(F.struct("step", "q", "t"))).alias("v")).select("pair_index", F.col("v.q").alias("q"), F.col("v.t").alias("t"))
+    atoms = residues.where("observed").groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("residue_index", "x", "y", "z"))).alias("v"))
+    flat = F.flatten(F.transform("v", lambda s: F.array(s["x"], s["y"], s["z"])))
+    side = lambda s: atoms.select(F.col("idx").alias(f"{s}_index"), F.col("v.residue_index").alias(f"at_{s[0]}"), flat.alias(f"ca_{s[0]}"))
+    j = alignments.select("pair_index", "query_index", "target_index").join(path, "pair_index", "left").join(side("query"), "query_index", "left").join(side("target"), "target_index", "left")
+    return _dealt(j).withColumn("s", _six(F.struct("q", "t", "at_q", "ca_q", "at_t", "ca_t"))).select("pair_index", "s.*")
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs over all cores: few bytes but long work, in a number of tasks that adaptive execution leaves alone."""
+    spark = pairs.sparkSession
+    return pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 PANEL = "struct<" + ",".join(f"`{m}`:double" for m in METRICS) + ",invalid_reasons:map<string,string>>"
@@ -173,7 +185,7 @@ def with_panel(alignments: DataFrame, proteins: DataFrame) -> DataFrame:
     j = alignments.join(side("query"), "query_index").join(side("target"), "target_index")
     cols = ["lq", "lt", "codes_q", "codes_t", "ca_q", "ok_q", "ca_t", "ok_t"]
     panel = metric_panel(F.struct(F.col("path.steps").alias("steps"), *cols))
-    return j.withColumn("metrics", panel).drop(*cols[2:]).withColumnsRenamed({"lq": "query_length", "lt": "target_length"})
+    return _dealt(j).withColumn("metrics", panel).drop(*cols[2:]).withColumnsRenamed({"lq": "query_length", "lt": "target_length"})
 
 
 def observed(source: Column) -> Column:
