@@ -55,6 +55,28 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(tv.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (7, 0x5851F42D4C957F2D))
 
 
+def _answer(parcels: pa.Table) -> pa.Table:
+    """What a shard answers: of each parcel's texts how many hashes occur again. One sort of the shard's hashes serves all parcels, which grow in number with the input."""
+    body, owner = parcels.column("body").to_pylist(), parcels.column("extra").to_pylist()
+    uids, what = parcels.column("uid").to_pylist(), parcels.column("what").to_pylist()
+    rows = [(0, u, 1, b, b"") for u, w, b in zip(uids, what, body, strict=True) if w == 1]
+    asked = [k for k, w in enumerate(what) if w == 0]
+    if asked:
+        h = np.frombuffer(b"".join([body[k] for k in asked]), "<u4")
+        to = np.frombuffer(b"".join([owner[k] for k in asked]), "<u2")
+        parcel = np.repeat(np.arange(len(asked)), [len(body[k]) // 4 for k in asked])
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        again = np.zeros(len(h), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        again &= to != 0xFFFF
+        found, n = np.unique(parcel[again] << 16 | to[again], return_counts=True)
+        text, n = (found & 0xFFFF).astype("<u2"), n.astype("<u4")
+        cuts = np.searchsorted(found >> 16, np.arange(len(asked) + 1)).tolist()
+        rows += [(0, uids[k], 0, text[a:b].tobytes(), n[a:b].tobytes()) for k, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True) if b > a]
+    return pa.Table.from_batches([_parcels(rows)]) if rows else pa.Table.from_batches([], _parcels([(0, 0, 0, b"", b"")]).schema)
+
+
 def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, t1, t2, n, sig, sig2, shared for each row of docs (doc_id, t1, t2, text).
 
@@ -112,22 +134,6 @@ def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
         if sets:
             yield flush()
 
-    def answer(parcels: pa.Table) -> pa.Table:
-        body, owner = parcels.column("body").to_pylist(), parcels.column("extra").to_pylist()
-        uids, what = parcels.column("uid").to_pylist(), parcels.column("what").to_pylist()
-        rows = [(0, u, 1, b, b"") for u, w, b in zip(uids, what, body, strict=True) if w == 1]
-        asked = [k for k, w in enumerate(what) if w == 0]
-        if asked:
-            h = [np.frombuffer(body[k], "<u4") for k in asked]
-            values, counts = np.unique(np.concatenate(h), return_counts=True)
-            twice = values[counts > 1]
-            for k, x in zip(asked, h, strict=True):
-                to = np.frombuffer(owner[k], "<u2")[np.isin(x, twice)]
-                to, n = np.unique(to[to != 0xFFFF], return_counts=True)
-                if len(to):
-                    rows.append((0, uids[k], 0, to.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
-        return pa.Table.from_batches([_parcels(rows)]) if rows else pa.Table.from_batches([], _parcels([(0, 0, 0, b"", b"")]).schema)
-
     def total(parcels: pa.Table) -> pa.Table:
         what, body, extra = (parcels.column(c).to_pylist() for c in ("what", "body", "extra"))
         table = np.frombuffer(next(b for w, b in zip(what, body, strict=True) if w == 1), _DOC).copy()
@@ -138,7 +144,7 @@ def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
         return pa.table([pa.array(table["id"], mask=table["null"]), *(pa.array(table[c].astype(np.int64)) for c in names)], ["doc_id", *names])
 
     dealt = docs.select("doc_id", "t1", "t2", "text").mapInArrow(deal, _PARCEL)
-    answered = dealt.groupBy("dest").applyInArrow(answer, _PARCEL)
+    answered = dealt.groupBy("dest").applyInArrow(_answer, _PARCEL)
     return answered.groupBy("uid").applyInArrow(total, "doc_id long, t1 long, t2 long, n long, sig long, sig2 long, shared long")
 
 

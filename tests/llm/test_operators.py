@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,32 @@ def test_ngram_join_of_groups_in_one_block_and_in_many(spark, monkeypatch, block
     assert [got[k] for k in range(n)] == comp and 1 < len(set(comp)) < n
 
 
+def test_a_shard_answers_many_parcels_with_one_sort():
+    """As many hashes in 40 times the parcels: each of these once searched all repeated hashes of the shard."""
+    import time
+
+    r = np.random.default_rng(5)
+    h, to = r.choice(r.integers(0, 1 << 32, 200_000), 200_000).astype("<u4"), np.where(r.random(200_000) < 0.1, 0xFFFF, r.integers(0, 30, 200_000)).astype("<u2")
+    value, count = np.unique(h, return_counts=True)
+    elsewhere = dict(zip(value.tolist(), (count > 1).tolist(), strict=True))
+    took = {}
+    for parcels in (20, 800):
+        parts = list(zip(np.split(h, parcels), np.split(to, parcels), strict=True))
+        table = pa.Table.from_batches([ngram_join._parcels([*((3, u, 0, a.tobytes(), b.tobytes()) for u, (a, b) in enumerate(parts)), (3, 9, 1, b"table", b"")])])
+        began = time.perf_counter()
+        out = ngram_join._answer(table).to_pylist()
+        took[parcels] = time.perf_counter() - began
+        assert [(x["uid"], x["body"]) for x in out if x["what"] == 1] == [(9, b"table")]
+        got = {(x["uid"], int(t)): int(n) for x in out if x["what"] == 0 for t, n in zip(np.frombuffer(x["body"], "<u2"), np.frombuffer(x["extra"], "<u4"), strict=True)}
+        want: dict[tuple[int, int], int] = {}
+        for u, (a, b) in enumerate(parts):
+            for x, t in zip(a.tolist(), b.tolist(), strict=True):
+                if t != 0xFFFF and elsewhere[x]:
+                    want[u, t] = want.get((u, t), 0) + 1
+        assert got == want
+    assert took[800] < 10 * took[20] + 0.2
+
+
 def test_ngram_rows_that_share_an_id(spark):
     r = random.Random(5)
     a, b, c = prose(r, 40), prose(r, 40), prose(r, 40)
