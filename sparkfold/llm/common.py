@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """df, after Spark was led to remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which comes late where much is shuffled and the driver holds little.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, by a written table: for loops, since a checkpoint keeps what Catalyst knows of partitions and columns, which multiplies from round to round."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

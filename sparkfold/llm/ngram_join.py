@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import BROADCAST_ROWS, cut, hot_join, lookup_join, small_batches
+from .common import BROADCAST_ROWS, cut, hot_join, lookup_join, small_batches, swept
 from .components import components
 
 NUM, DEN = 75, 100
 #: Shingles that a task holds before it deals them out, those of a trie's texts, and bytes of input that a shard of hashes stands for.
 FLUSH, BLOCK_SHINGLES, SHARD_BYTES = 1_500_000, 200_000, 16 << 20
 NO_ID = -(1 << 63)
+#: Classes whose keys (four longs, about 80 bytes in memory) are broadcast; for more, all texts are dealt out by a shuffle.
+BROADCAST_CLASSES = 500_000
 
 _PARCEL = "dest int, uid long, what int, body binary, extra binary"
 _DOC = np.dtype([("id", "<i8"), ("t1", "<i8"), ("t2", "<i8"), ("n", "<i8"), ("sig", "<i8"), ("sig2", "<i8"), ("shared", "<u4"), ("null", "?")])
@@ -327,6 +329,8 @@ def set_components(sets: DataFrame) -> DataFrame:
     lists = each.join(df, "x").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("items")).where(F.size("items") >= need(F.col("n")))
     prefix = F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("items"))  # places left after the shingles of no other text
     kept = cut(lists.select("cid", "n", F.col("items.df").alias("df"), F.col("items.x").alias("h"), prefix.cast("int").alias("p")))
+    del each, df, lists
+    swept(kept)
     members = cut(kept.select("cid", F.explode(F.slice("h", F.lit(1), F.greatest("p", F.lit(0)))).alias("key")))
     weights = kept.select("cid", F.size("h").alias("weight"))
     comp = cut(kept.select("cid", F.col("cid").alias("comp")))
@@ -352,12 +356,12 @@ def set_components(sets: DataFrame) -> DataFrame:
 def _rows(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, t1, t2, n, component (a number), low (its smallest doc_id) for each row of docs; texts without links have a null component."""
     own = docs.select("doc_id", *_text_key(), "text")
-    sizes = cut(shared_counts(own, k))
+    sizes = swept(cut(shared_counts(own, k)))  # the packed hashes are the most that is ever dealt out
     live = sizes.where((F.col("n") > 0) & (F.col("shared") >= need(F.col("n"))))
     key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "t1", "t2")
     classes = cut(live.groupBy("sig", "sig2", "n").agg(F.min(key).alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))).withColumn("cid", F.monotonically_increasing_id())  # of a written table: the same at each reading
     reps = classes.select("rep.*", "cid")
-    if reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if reps.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
         reps = F.broadcast(reps)
     texts = own.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID))).join(reps, ["k", "t1", "t2"]).select("cid", "text")
     sets = shingle_sets(texts, k).select("cid", F.size("h").cast("bigint").alias("n"), "h")

@@ -201,6 +201,33 @@ def test_a_shard_answers_many_parcels_with_one_sort():
     assert took[800] < 10 * took[20] + 0.2
 
 
+def test_classes_meet_their_texts_by_broadcast_and_by_shuffle(spark, docs, monkeypatch):
+    got = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_CLASSES", most)
+        got.append(sorted(map(tuple, ngram_join.ngram_components(docs).collect())))
+    assert got[0] == got[1] and len(got[0]) == docs.count()
+
+
+def test_shuffle_files_go_once_their_result_is_written(spark, docs):
+    """Else all of a run's shuffles may be on disk at its end."""
+    import time
+
+    from sparkfold.llm.common import cut, swept
+
+    def kept(least: int) -> int:
+        for _ in range(100):
+            if (n := spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()) <= least:
+                break
+            time.sleep(0.1)
+        return n
+
+    swept(docs)
+    before = kept(0)
+    sizes = swept(cut(ngram_join.shared_counts(docs.select("doc_id", *ngram_join._text_key(), "text"))))
+    assert kept(before) <= before and sizes.count() == docs.count()
+
+
 def test_ngram_rows_that_share_an_id(spark):
     r = random.Random(5)
     a, b, c = prose(r, 40), prose(r, 40), prose(r, 40)
