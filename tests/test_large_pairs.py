@@ -116,3 +116,9 @@ def test_both_modes(spark, table, hard):
     o = qs.al.AlignOptions.of("structure-d64", "both")
     soft = [soft_batch([table[1][a] @ table[1][b].T], o.soft.open, o.soft.extension, o.temperature, posteriors=False)[0][0] for a, b in PAIRS]
     near(rows(spark, qs.both_modes, table), [{"pair_index": k, "raw_sw_score": s, "soft_sw_score": z, "aligned_pairs": p.aligned} for k, ((s, p), z) in enumerate(zip(hard, soft, strict=True))])
+
+
+def test_path_steps(spark, table, hard):
+    want = [{"pair_index": k, "step": n, "q": int(a), "t": int(b), "residue_score": c} for k, (_, p) in enumerate(hard) for n, (a, b, c) in enumerate(zip(p.query, p.target, p.score, strict=True))]
+    assert len(want) > 2000
+    near(rows(spark, qs.path_steps, table, "pair_index step"), want)
