@@ -122,3 +122,16 @@ def test_path_steps(spark, table, hard):
     want = [{"pair_index": k, "step": n, "q": int(a), "t": int(b), "residue_score": c} for k, (_, p) in enumerate(hard) for n, (a, b, c) in enumerate(zip(p.query, p.target, p.score, strict=True))]
     assert len(want) > 2000
     near(rows(spark, qs.path_steps, table, "pair_index step"), want)
+
+
+def diagonals(table, pairs: list[tuple[int, int]]) -> list[dict]:
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        at = np.arange(min(LENGTHS[a], LENGTHS[b]))
+        m = panel(table, a, b, Aligned(at, at, np.zeros(len(at))))
+        out.append({"pair_index": k, "aligned_pairs": len(at)} | {c: m[c] for c in ("coverage_query", "coverage_target", "coverage_mean", "identity")})
+    return out
+
+
+def test_score_alignment(spark, table):
+    near(rows(spark, qs.score_alignment, table), diagonals(table, [(int(q[1:]), int(t[1:])) for _, q, t in qs.PAIRS]))
