@@ -135,3 +135,7 @@ def diagonals(table, pairs: list[tuple[int, int]]) -> list[dict]:
 
 def test_score_alignment(spark, table):
     near(rows(spark, qs.score_alignment, table), diagonals(table, [(int(q[1:]), int(t[1:])) for _, q, t in qs.PAIRS]))
+
+
+def test_superposition_moments(spark, table, hard):
+    near(rows(spark, qs.superposition_moments, table), [{"pair_index": k} | moments(table, *PAIRS[k], p) for k, (_, p) in enumerate(hard)], 5)
