@@ -139,3 +139,8 @@ def test_score_alignment(spark, table):
 
 def test_superposition_moments(spark, table, hard):
     near(rows(spark, qs.superposition_moments, table), [{"pair_index": k} | moments(table, *PAIRS[k], p) for k, (_, p) in enumerate(hard)], 5)
+
+
+def test_path_spans(spark, table, hard):
+    names = ("query_start", "query_end", "target_start", "target_end")
+    near(rows(spark, qs.path_spans, table), [{"pair_index": k} | dict(zip(names, p.spans(), strict=True)) for k, (_, p) in enumerate(hard)])
