@@ -144,3 +144,8 @@ def test_superposition_moments(spark, table, hard):
 def test_path_spans(spark, table, hard):
     names = ("query_start", "query_end", "target_start", "target_end")
     near(rows(spark, qs.path_spans, table), [{"pair_index": k} | dict(zip(names, p.spans(), strict=True)) for k, (_, p) in enumerate(hard)])
+
+
+def test_result_rollup(spark, table, hard):
+    own = [[s for (a, _), (s, _) in zip(PAIRS, hard, strict=True) if a == k] for k in range(3)]
+    near(rows(spark, qs.result_rollup, table, "query_index"), [{"query_index": k, "pairs": len(s), "mean_score": np.mean(s), "best_score": max(s)} for k, s in enumerate(own)])
