@@ -149,3 +149,7 @@ def test_path_spans(spark, table, hard):
 def test_result_rollup(spark, table, hard):
     own = [[s for (a, _), (s, _) in zip(PAIRS, hard, strict=True) if a == k] for k in range(3)]
     near(rows(spark, qs.result_rollup, table, "query_index"), [{"query_index": k, "pairs": len(s), "mean_score": np.mean(s), "best_score": max(s)} for k, s in enumerate(own)])
+
+
+def test_score_alignment_all(spark, table):
+    near(rows(spark, qs.score_alignment_all, table), diagonals(table, [(a, b) for a in range(4) for b in range(a, 4)]))
