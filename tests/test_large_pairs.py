@@ -153,3 +153,8 @@ def test_result_rollup(spark, table, hard):
 
 def test_score_alignment_all(spark, table):
     near(rows(spark, qs.score_alignment_all, table), diagonals(table, [(a, b) for a in range(4) for b in range(a, 4)]))
+
+
+def test_coverage(spark, table, hard):
+    names = ("coverage_query", "coverage_target", "coverage_mean")
+    near(rows(spark, qs.coverage, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)])
