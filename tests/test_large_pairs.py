@@ -158,3 +158,8 @@ def test_score_alignment_all(spark, table):
 def test_coverage(spark, table, hard):
     names = ("coverage_query", "coverage_target", "coverage_mean")
     near(rows(spark, qs.coverage, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)])
+
+
+def test_tm_score(spark, table, hard):
+    names = ("tm_score_query", "tm_score_target")
+    near(rows(spark, qs.tm_score, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)], 5)
