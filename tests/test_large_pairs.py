@@ -163,3 +163,13 @@ def test_coverage(spark, table, hard):
 def test_tm_score(spark, table, hard):
     names = ("tm_score_query", "tm_score_target")
     near(rows(spark, qs.tm_score, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)], 5)
+
+
+def test_gapped_fasta(spark, table, hard):
+    def record(k: int, places: np.ndarray) -> str:
+        own = codes(table, k)
+        letters = "".join("-" if i < 0 else own[i] for i in places)
+        return f">p{k}\n" + "\n".join(letters[n : n + 80] for n in range(0, len(letters), 80)) + "\n"
+
+    want = [{"pair_index": k, "name": f"p{a}__p{b}", "fasta": record(a, p.query) + record(b, p.target)} for k, ((a, b), (_, p)) in enumerate(zip(PAIRS, hard, strict=True))]
+    assert rows(spark, qs.gapped_fasta, table) == want
