@@ -173,3 +173,8 @@ def test_gapped_fasta(spark, table, hard):
 
     want = [{"pair_index": k, "name": f"p{a}__p{b}", "fasta": record(a, p.query) + record(b, p.target)} for k, ((a, b), (_, p)) in enumerate(zip(PAIRS, hard, strict=True))]
     assert rows(spark, qs.gapped_fasta, table) == want
+
+
+def test_hard_alignment_positive_extension(spark, table):
+    found = [hard_batch([table[1][a] @ table[1][b].T], qs.POSITIVE.hard.open, qs.POSITIVE.hard.extension)[0] for a, b in PAIRS]
+    near(rows(spark, qs.hard_alignment_positive_extension, table), [{"pair_index": k, "raw_sw_score": s, "aligned_pairs": p.aligned} for k, (s, p) in enumerate(found)])
