@@ -178,3 +178,7 @@ def test_gapped_fasta(spark, table, hard):
 def test_hard_alignment_positive_extension(spark, table):
     found = [hard_batch([table[1][a] @ table[1][b].T], qs.POSITIVE.hard.open, qs.POSITIVE.hard.extension)[0] for a, b in PAIRS]
     near(rows(spark, qs.hard_alignment_positive_extension, table), [{"pair_index": k, "raw_sw_score": s, "aligned_pairs": p.aligned} for k, (s, p) in enumerate(found)])
+
+
+def test_length_normalised_scores(spark, table, hard):
+    near(rows(spark, qs.length_normalised_scores, table), [{"pair_index": k, "sw_per_query_len": s / LENGTHS[a], "sw_per_target_len": s / LENGTHS[b], "sw_per_aligned": s / p.aligned} for k, ((a, b), (s, p)) in enumerate(zip(PAIRS, hard, strict=True))])
