@@ -182,3 +182,7 @@ def test_hard_alignment_positive_extension(spark, table):
 
 def test_length_normalised_scores(spark, table, hard):
     near(rows(spark, qs.length_normalised_scores, table), [{"pair_index": k, "sw_per_query_len": s / LENGTHS[a], "sw_per_target_len": s / LENGTHS[b], "sw_per_aligned": s / p.aligned} for k, ((a, b), (s, p)) in enumerate(zip(PAIRS, hard, strict=True))])
+
+
+def test_identity(spark, table, hard):
+    near(rows(spark, qs.identity, table), [{"pair_index": k, "identity": panel(table, *PAIRS[k], p)["identity"]} for k, (_, p) in enumerate(hard)])
