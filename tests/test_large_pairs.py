@@ -160,6 +160,10 @@ def test_coverage(spark, table, hard):
     near(rows(spark, qs.coverage, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)])
 
 
+def test_rmsd(spark, table, hard):
+    near(rows(spark, qs.rmsd, table), [{"pair_index": k, "rmsd": panel(table, *PAIRS[k], p)["rmsd"]} for k, (_, p) in enumerate(hard)], 5)
+
+
 def test_tm_score(spark, table, hard):
     names = ("tm_score_query", "tm_score_target")
     near(rows(spark, qs.tm_score, table), [{"pair_index": k} | {c: panel(table, *PAIRS[k], p)[c] for c in names} for k, (_, p) in enumerate(hard)], 5)
