@@ -103,3 +103,32 @@ def test_products_by_blocks(spark):
     for s in similarity_summary(r, pairs, block=3, rows=2).collect():
         cells = [v for k, v in got.items() if k[0] == s["pair_index"] and v is not None]
         assert (s["cells"], s["lowest"], s["highest"], s["mean"]) == (sum(k[0] == s["pair_index"] for k in got), pytest.approx(min(cells)), pytest.approx(max(cells)), pytest.approx(np.mean(cells)))
+
+
+def test_cells_come_from_a_row_a_line(spark):
+    vectors = {k: RNG.normal(0, 1, (n, 4)) for k, n in enumerate((5, 9))}
+    gone = {(0, 2), (1, 0), (1, 3), (1, 4)}  # residues without an embedding meet nothing, and places go on after them
+    rows = [(k, i, None if (k, i) in gone else [float(x) for x in v]) for k, m in vectors.items() for i, v in enumerate(m)]
+    r = spark.createDataFrame(rows, "idx long, residue_index int, embedding array<double>")
+    cells = similarity_cells(r, spark.createDataFrame([(7, 0, 1)], "pair_index long, query_index long, target_index long"), block=6, rows=2)
+    assert cells.columns == ["pair_index", "query_index", "target_index", "i", "j", "score"]
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("MapInArrow")  # Spark makes the cells of what workers send
+    got = [((c["pair_index"], c["query_index"], c["target_index"], c["i"], c["j"]), c["score"]) for c in cells.collect()]
+    want = {(7, 0, 1, i, j): float(vectors[0][i] @ vectors[1][j]) for i in range(5) for j in range(9) if (0, i) not in gone and (1, j) not in gone}
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+def test_quick_rounding_is_sparks(spark):
+    from pyspark.sql import functions as F
+
+    from sparkfold.queries import quick_r6, r6
+
+    ties = [(k + 0.5) / 1e6 for k in (0, 1, 2, 123456, 499999, 999999, 999999999)] + [float(f"{k}.{m}5") for k in (0, 1, 12, 999) for m in range(100000, 100040)]
+    near = [x + d for x in ties for d in (-1e-15, 1e-15, -1e-13, 1e-13, -1e-9, 1e-9)]
+    odd = [0.0, 1e-300, 1e-7, 4.9999999e-7, 999.9999995, 1000.0, 1234567.8901235, 9007199254.740993, 1e15, 1e300, float("inf"), float("nan"), None]
+    many = [float(x) for x in np.concatenate([RNG.normal(0, 0.125, 5000), RNG.normal(0, 300, 2000)])]
+    x = [s * v if v is not None else None for v in ties + near + odd + many for s in (1, -1)]
+    both = spark.createDataFrame([(v,) for v in x], "x double").select("x", r6(F.col("x"), "slow"), quick_r6(F.col("x"), "quick")).collect()
+    text = lambda v: None if v is None else v.hex()  # noqa: E731  the sign of zero counts
+    assert len(both) == len(x) and [b["x"] for b in both if text(b["slow"]) != text(b["quick"])] == []
